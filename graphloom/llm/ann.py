@@ -149,7 +149,7 @@ def _search(d: int, index, k: int, rerank: int):
     return run
 
 
-def search(rows: DataFrame, queries: Column, k: int = 20, probe_share: float = 0.5, rerank: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: Column, k: int = 20, probe_share: float = 0.75, rerank: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, id and score of the k nearest rows found for each row that `queries` holds for.
 
     Nearness is the inner product, in double precision on the original vectors; ties go to the smaller id; a

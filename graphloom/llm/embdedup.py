@@ -126,8 +126,8 @@ def _compare(d: int, threshold: float):
     def run(batches):
         for part in slices(batches, "xa", 2 << 20):
             for row in part.to_pylist():
-                (ia, ib), (ka, kb) = ((np.frombuffer(row[c + s], "<i8") for s in "ab") for c in ("ids", "counts"))
-                (xa, xb), (ya, yb) = ((np.frombuffer(row[c + s], t).reshape(-1, d) for s in "ab") for c, t in (("x", "<f8"), ("y", "<f4")))
+                (ia, ib), (ka, kb) = ([np.frombuffer(row[c + s], "<i8") for s in "ab"] for c in ("ids", "counts"))
+                (xa, xb), (ya, yb) = ([np.frombuffer(row[c + s], t).reshape(-1, d) for s in "ab"] for c, t in (("x", "<f8"), ("y", "<f4")))
                 i, j = linked(xa, ya, xb, yb, threshold)
                 if row["a"] == row["b"]:
                     i, j = i[i < j], j[i < j]
