@@ -28,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, components, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
-from .substring import Repeats, sequence_hashes
+from .common import Scratch, as_bytes, components, free, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
+from .substring import sequence_hashes
 
-_free = Repeats._free
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -140,11 +139,11 @@ class Groups:
         heads = save(signed.where("n > 0").groupBy("n", "h", "g").agg(F.min("i").alias("head")), "heads")
         sigs = signed.join(heads.select(F.col("head").alias("i")).distinct(), "i", "left_semi").select("i", F.explode("sigs").alias("sig"))
         shared = save(sigs.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "shared")
-        _free()
+        free()
         members = save(sigs.join(shared, "sig", "left_semi").distinct(), "members")
-        _free()
+        free()
         self.sets = save(texts.join(members.select("i").distinct(), "i", "left_semi").mapInArrow(_sets(k), "i long, s binary"), "sets")
-        _free()
+        free()
         roots = self._resolve(members)
         slim = signed.select("i", "n", "h", "g").join(heads, ["n", "h", "g"], "left").join(roots.select(F.col("id").alias("head"), "component"), "head", "left")
         self.docs = slim.select("i", "n", F.coalesce("component", "head", "i").alias("component"))

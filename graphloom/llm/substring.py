@@ -15,7 +15,6 @@ are told by a hash of all their words and lose everything if they have a window
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
+from .common import Scratch, as_bytes, free, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
@@ -156,9 +155,10 @@ def _level(length: int, window: int):
     return run
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
+def _candidates(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """ranges of windows, by document, whose anchor occurs elsewhere too."""
-    again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    free()
     return rows.join(again, "h", "left_semi").groupBy("i").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
@@ -189,35 +189,29 @@ class Repeats:
         save, steps = self.scratch.save, levels(window)
         self.texts = docs.select(row_id(id_col).alias("i"), F.col(text_col).alias("t"))
         seen = save(self.texts.mapInArrow(_first_level(steps[0], window), _ROWS_SQL), "first")
-        self.docs = seen.where("p < 0").select("i", "h", "g", F.col("a").cast("long").alias("n_words"), "sha")
+        self.docs = save(seen.where("p < 0").select("i", "h", "g", F.col("a").cast("long").alias("n_words"), "sha"), "docs")
         heads = self.docs.groupBy("h", "g").agg(F.min("i").alias("head"), F.max("i").alias("last")).where("head <> last")
         self.later = save(self.docs.join(heads, ["h", "g"]).where("i <> head").select("i").distinct(), "later")
         clash = self.docs.groupBy("i").agg(F.min("g").alias("g"), F.max("g").alias("last")).where("g <> last").select("i")
         apart = save(self.later.union(clash).distinct(), "apart")
-        ranges = _candidates(seen.where("p >= 0")).join(apart, "i", "left_anti")
+        ranges = _candidates(self.scratch, seen.where("p >= 0")).join(apart, "i", "left_anti")
         segments = save(self.texts.join(ranges, "i").mapInArrow(_cut_texts(window), "i long, start int, w binary"), "segments")
-        self._free()
+        self.scratch.drop(seen)
+        free()
         for length in steps[1:-1]:
             rows = save(segments.mapInArrow(_level(length, window), _ROWS_SQL), "rows")
-            longer = save(segments.join(_candidates(rows), "i").mapInArrow(_cut_segments(window), "i long, start int, w binary"), "segments")
+            longer = save(segments.join(_candidates(self.scratch, rows), "i").mapInArrow(_cut_segments(window), "i long, start int, w binary"), "segments")
             self.scratch.drop(segments, rows)
             segments = longer
-            self._free()
+            free()
         rows = save(segments.mapInArrow(_level(window, window), _ROWS_SQL).select("h", "g", "i", "p"), "rows")
         self.scratch.drop(segments)
-        first = rows.groupBy("h", "g").agg(F.min(F.struct("i", "p")).alias("first"), F.max(F.struct("i", "p")).alias("last")).where("first <> last").select("h", "g", "first")
+        first = save(rows.groupBy("h", "g").agg(F.min(F.struct("i", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"), "firsts")
+        free()
         again = rows.join(first, ["h", "g"]).where(F.struct("i", "p") != F.col("first"))
         self.at = save(again.groupBy("i").agg(F.collect_set("p").alias("at")), "at")
         self.scratch.drop(rows, apart)
-        self._free()
-
-    @staticmethod
-    def _free() -> None:
-        """Shuffle files of stored stages go when the driver collects its garbage."""
-        from pyspark import SparkContext
-
-        gc.collect()
-        SparkContext._active_spark_context._jvm.System.gc()
+        free()
 
 
 def report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
