@@ -10,6 +10,7 @@ the i-th place of that length.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -166,14 +167,14 @@ class Plan:
 def place(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """Adds sequence_id and offset to pieces(..., length), with length from 1 to capacity.
 
-    pieces must be a stored table. Pieces of one length are numbered in parts of a few ten thousand rows, so a
-    length that most of them share stays spread.
+    pieces must be a stored table. Pieces of one length are numbered in parts, as many as a quarter of the root of
+    their number, so a length that most of them share stays spread.
     """
     counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if not counts:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     plan = Plan(counts, capacity)
-    parts = F.element_at(F.array(*[F.lit(max(1, counts.get(k, 0) // 20_000)) for k in range(1, capacity + 1)]), F.col("length").cast("int"))
+    parts = F.element_at(F.array(*[F.lit(max(1, math.isqrt(counts.get(k, 0)) // 4)) for k in range(1, capacity + 1)]), F.col("length").cast("int"))
     salted = pieces.withColumn("_part", F.pmod(F.xxhash64(*order), parts))
     before = salted.groupBy("length", "_part").agg(F.count("*").alias("n"))
     before = before.select("length", "_part", (F.sum("n").over(Window.partitionBy("length").orderBy("_part")) - F.col("n")).alias("_before"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bytebpe, embdedup, jaccard, langid, packing, substring, unigram, urlfilter, warc
 from .common import table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
