@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -58,9 +59,12 @@ class Scratch:
 
 
 def free() -> None:
-    """Lets shuffle files of stages whose results are stored go: they do when the driver collects its garbage."""
-    gc.collect()
-    SparkContext._active_spark_context._jvm.System.gc()
+    """Lets shuffle files of stages whose results are stored go: they do when the driver collects its garbage.
+    It takes two rounds, as the first only lets go of what Python and finished queries still held."""
+    for _ in range(2):
+        gc.collect()
+        SparkContext._active_spark_context._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -137,10 +137,11 @@ class Groups:
         texts = docs.select(row_id(id_col).alias("i"), F.col(text_col).alias("t"))
         signed = save(texts.mapInArrow(_sign(k, percent), "i long, n long, h long, g long, sigs array<long>"), "signed")
         heads = save(signed.where("n > 0").groupBy("n", "h", "g").agg(F.min("i").alias("head")), "heads")
-        sigs = signed.join(heads.select(F.col("head").alias("i")).distinct(), "i", "left_semi").select("i", F.explode("sigs").alias("sig"))
+        copies = save(signed.where("n > 0").join(heads, ["n", "h", "g"]).where("i <> head").select("i").distinct(), "copies")
+        sigs = signed.select("i", F.explode("sigs").alias("sig"))
         shared = save(sigs.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "shared")
         free()
-        members = save(sigs.join(shared, "sig", "left_semi").distinct(), "members")
+        members = save(sigs.join(shared, "sig", "left_semi").join(copies, "i", "left_anti"), "members")
         free()
         self.sets = save(texts.join(members.select("i").distinct(), "i", "left_semi").mapInArrow(_sets(k), "i long, s binary"), "sets")
         free()
