@@ -157,7 +157,9 @@ def test_text_formats(spark, tmp_path):
     p = text.parse_paper_config("2, 10, 100.4, 1234\n1, 0, 0, 0\n/a.net\n")
     assert p.num_iter == 10 and p.max_time == 100.4 and p.do_inc_brandes
     text.write_delta(incremental.delta(g, 1, 2, "insert"), str(tmp_path / "d"))
-    assert spark.read.parquet(str(tmp_path / "d")).count() == 1
+    old, new = brandes([(0, 1), (0, 2), (0, 3), (0, 4), (2, 3)]), brandes([(0, 1), (0, 2), (0, 3), (0, 4), (2, 3), (1, 2)])
+    want = {k: new[k] - old[k] for k in new if new[k] != old[k]}
+    assert {r.id: r.delta for r in spark.read.parquet(str(tmp_path / "d")).collect()} == pytest.approx(want) and set(want) == {0, 2}
 
 
 def test_statistics_and_samples(spark):
