@@ -56,6 +56,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             x = h * _MULT
             slots.append(((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.int64)[inside] % SLOTS)
             owners.append(owner[: len(h)][inside])
+    if not slots:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(slots), np.concatenate(owners)
 
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, free, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
 
+#: Columns beside those of the documents, which may have any other name.
+_I, _AT, _COPY = "__graphloom_id", "__graphloom_at", "__graphloom_copy"
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
 _ROWS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("i", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("sha", pa.string())])
@@ -239,13 +241,13 @@ def remove(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     there is such a column, is set to the new length of changed texts.
     """
     r = Repeats(docs, window, id_col, text_col)
-    marked = docs.withColumn("_i", row_id(id_col)).join(r.at.withColumnRenamed("i", "_i"), "_i", "left").join(r.later.select(F.col("i").alias("_i"), F.lit(True).alias("_copy")), "_i", "left")
+    marked = docs.withColumn(_I, row_id(id_col)).join(r.at.toDF(_I, _AT), _I, "left").join(r.later.select(F.col("i").alias(_I), F.lit(True).alias(_COPY)), _I, "left")
     names = docs.columns
 
     def run(batches):
         for part in slices(batches, text_col):
             texts, chars = values(part, text_col).to_pylist(), values(part, "n_chars").to_pylist() if "n_chars" in names else None
-            for k, (at, copy) in enumerate(zip(values(part, "_at").to_pylist(), values(part, "_copy").to_pylist())):
+            for k, (at, copy) in enumerate(zip(values(part, _AT).to_pylist(), values(part, _COPY).to_pylist())):
                 words = (texts[k] or "").encode().split() if at or copy else []
                 if at or copy and len(words) >= window:
                     gone = np.zeros(len(words) + 1, np.int64)
@@ -258,5 +260,4 @@ def remove(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
             new = {text_col: texts} | ({"n_chars": chars} if chars else {})
             yield pa.RecordBatch.from_arrays([pa.array(new[c], values(part, c).type) if c in new else values(part, c) for c in names], names=names)
 
-    out = marked.withColumnRenamed("at", "_at").select(*names, "_at", "_copy")
-    return out.mapInArrow(run, docs.schema)
+    return marked.select(*names, _AT, _COPY).mapInArrow(run, docs.schema)
