@@ -39,7 +39,7 @@ def update_experiment(spark: SparkSession, text: str) -> list[dict]:
         graph = read_graph(spark, path)
         edges = workload(spark, graph, config, path)
         op = "delete" if config.deletion else "insert"
-        base, bc = timed(brandes(graph)) if config.do_brandes or config.do_fast_brandes else (1.0, [])
+        base, bc = timed(brandes(graph)) if config.run_full or config.run_full_fast else (1.0, [])
         total = stored(spark.createDataFrame(bc, "id long, bc double")) if bc else None
         rows = []
         for a, b in edges:

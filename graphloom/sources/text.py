@@ -59,12 +59,12 @@ class Config:
     num_threads: int
     rand_seed: int
     external_edges: bool
-    do_icent: bool
-    do_bcc_icent: bool
-    do_fast_brandes: bool
-    do_brandes: bool
-    do_qube: bool
-    do_inc_qube: bool
+    update_whole: bool
+    update_blocks: bool
+    run_full_fast: bool
+    run_full: bool
+    run_parts: bool
+    update_parts: bool
     paths: list[str] = field(default_factory=list)
 
 
@@ -74,10 +74,10 @@ class PaperConfig:
     num_iter: int
     max_time: float
     rand_seed: int
-    do_inc_brandes: bool
-    do_qube: bool
-    do_inc_qube: bool
-    do_bcc: bool
+    update_whole: bool
+    run_parts: bool
+    update_parts: bool
+    update_blocks: bool
     paths: list[str] = field(default_factory=list)
 
 

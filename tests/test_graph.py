@@ -152,10 +152,10 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "x.net.edges").write_text("1 2\n4 3\n")
     assert [tuple(r) for r in text.read_edges(spark, str(tmp_path / "x.net.edges")).collect()] == [(1, 2), (4, 3)]
     c = text.parse_config("1\n10, 20, 1111\n0, 0, 1\n0, 0, 0, 0\n/a/b.net\n/c/d.net\n")
-    assert c.deletion and c.num_edges == 10 and c.do_bcc_icent and not c.do_icent and [text.graph_name(p) for p in c.paths] == ["b.net", "d.net"]
+    assert c.deletion and c.num_edges == 10 and c.update_blocks and not c.update_whole and [text.graph_name(p) for p in c.paths] == ["b.net", "d.net"]
     assert not text.parse_config("10, 2, 1111\n0, 0, 1\n0, 0, 0, 0\n/a\n").deletion
     p = text.parse_paper_config("2, 10, 100.4, 1234\n1, 0, 0, 0\n/a.net\n")
-    assert p.num_iter == 10 and p.max_time == 100.4 and p.do_inc_brandes
+    assert p.num_iter == 10 and p.max_time == 100.4 and p.update_whole
     text.write_delta(incremental.delta(g, 1, 2, "insert"), str(tmp_path / "d"))
     old, new = brandes([(0, 1), (0, 2), (0, 3), (0, 4), (2, 3)]), brandes([(0, 1), (0, 2), (0, 3), (0, 4), (2, 3), (1, 2)])
     want = {k: new[k] - old[k] for k in new if new[k] != old[k]}
