@@ -13,8 +13,8 @@ out, one that both sign remains; sets with more sparse partitions than that sign
 Links need not be found pair by pair, as components are asked for. In every signature's bucket one member, the
 pivot, is compared with the others; by the triangle inequality of the Jaccard distance, others can only be
 similar if their distances from the pivot are, so the bucket is dealt into overlapping rings of distance.
-Rings that hold more than one component get further pivots, twice as many in each round, that are compared
-with the members of other components, until every ring is one component or all its members have been pivots.
+Rings that hold more than one component get further pivots, two and then four times as many in each round,
+that are compared with the members of other components, until every ring is one component or all its members have been pivots.
 No group is collected and all comparisons are exact, on the whole sets.
 """
 
@@ -62,12 +62,12 @@ class PartEnum:
             a = self.first[-1]
             b = max(a, a * 10_000 // self.percent**2)
             k = 2 * b * (100 - self.percent) // (100 + self.percent)
-            spare = math.ceil(0.06 * (k + 1)) + 3 if k else 0
+            spare = (k + 1) // 5
             mean, least, total, term = max(1e-9, (a * b) ** 0.5 / (k + 1 + spare)), 0, 0.0, 0.0
             while least < 8:  # the most that leaves few enough partitions sparse
                 term = math.exp(-mean) if not least else term * mean / least
                 total += term
-                if total > 0.04:
+                if total > 0.13:
                     break
                 least += 1
             self.last.append(b)
@@ -173,11 +173,12 @@ class Groups:
         while left.limit(1).count():
             order = Window.partitionBy("sig").orderBy(F.xxhash64("i", "sig"), "i")
             ranked = save(left.withColumn("r", F.row_number().over(order)), "ranked")
-            new = ranked.where(F.col("r") <= 2**times).select("sig", F.col("i").alias("a"), F.col("c").alias("ca"))
+            most = 2 * 4**times
+            new = ranked.where(F.col("r") <= most).select("sig", F.col("i").alias("a"), F.col("c").alias("ca"))
             pairs = ranked.join(new, "sig").where((F.col("c") != F.col("ca")) & (F.col("i") != F.col("a"))).select(F.least("a", "i").alias("a"), F.greatest("a", "i").alias("b")).distinct()
             links = links.union(self._links(self._compared(pairs)))
             roots = save(components(self.scratch, links), "roots")
-            left, times = save(self._open(ranked.where(F.col("r") > 2**times).select("sig", "i"), roots), "open"), times + 1
+            left, times = save(self._open(ranked.where(F.col("r") > most).select("sig", "i"), roots), "open"), times + 1
             self.scratch.drop(ranked)
         return roots
 
