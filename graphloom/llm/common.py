@@ -148,20 +148,24 @@ def components(scratch: Scratch, links: DataFrame, most: int = 60) -> DataFrame:
     Each round sends every id's smallest neighbour to all of its neighbours (large-star, then small-star), so
     that paths shorten by powers of two; groups of any size stay spread, as minima are pre-aggregated.
     """
+    def mark(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most):
+    before = mark(edges)
+    for _ in range(most if before[0] else 0):
         arcs = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = arcs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = arcs.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = scratch.save(small, "edges")
-        same = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(edges)
-        edges = now
-        if same:
+        edges, last, before = now, before, mark(now)
+        if before == last:
             break
     else:
-        raise RuntimeError("the components have not settled")
+        if before[0]:
+            raise RuntimeError("the components have not settled")
     stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component")).distinct()
