@@ -203,7 +203,7 @@ def _lose(window: int):
 
 class Repeats:
     """What is to go: `at` (i, v, at: starts of windows that occur earlier too) for documents that lose a part,
-    `later` (i) for whole copies of an earlier document, and `docs` (i, v, n_words, sha) of every row."""
+    `later` (i, v) for whole copies of an earlier document, and `docs` (i, v, n_words, sha) of every row."""
 
     def __init__(self, docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text"):
         self.window, self.scratch = window, Scratch(docs.sparkSession, "substring")
@@ -212,9 +212,9 @@ class Repeats:
         self.texts = docs.select(row_id(id_col).alias("i"), self.version.alias("v"), F.col(text_col).alias("t"))
         seen = save(self.texts.mapInArrow(_first_level(steps[0], window), _ROWS_SQL), "first")
         self.docs = save(seen.where("p < 0").select("i", "v", "h", "g", F.col("a").cast("long").alias("n_words"), "sha"), "docs")
-        heads = self.docs.groupBy("h", "g").agg(F.min("i").alias("head"), F.max("i").alias("last")).where("head <> last")
-        self.later = save(self.docs.join(heads, ["h", "g"]).where("i <> head").select("i").distinct(), "later")
-        ranges = _candidates(self.scratch, seen.where("p >= 0")).join(self.later, "i", "left_anti")
+        heads = self.docs.groupBy("h", "g").agg(F.min(F.struct("i", "v")).alias("head"), F.max(F.struct("i", "v")).alias("last")).where("head <> last")
+        self.later = save(self.docs.join(heads, ["h", "g"]).where(F.struct("i", "v") != F.col("head")).select("i", "v").distinct(), "later")
+        ranges = _candidates(self.scratch, seen.where("p >= 0")).join(self.later, ["i", "v"], "left_anti")
         segments = save(self.texts.join(ranges, ["i", "v"]).mapInArrow(_cut_texts(window), "i long, v binary, start int, w binary"), "segments")
         self.scratch.drop(seen)
         free()
@@ -247,7 +247,7 @@ def report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     nothing = hashlib.sha256(b"").hexdigest()
     copies = r.later.withColumn("copy", F.lit(True))
     whole: Column = F.col("copy").isNotNull() & (F.col("n_words") >= window)
-    rest = r.docs.join(r.at.select("i", "v"), ["i", "v"], "left_anti").join(copies, "i", "left").select("i", "v", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(whole, nothing).otherwise(F.col("sha")).alias("kept_sha256"))
+    rest = r.docs.join(r.at.select("i", "v"), ["i", "v"], "left_anti").join(copies, ["i", "v"], "left").select("i", "v", "n_words", F.when(whole, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(whole, nothing).otherwise(F.col("sha")).alias("kept_sha256"))
     parts = r.texts.join(r.at, ["i", "v"]).mapInArrow(_lose(window), "i long, v binary, n_words long, n_removed long, kept_sha256 string")
     # of null ids with the same words, the first stands for the others
     times = rest.union(parts).groupBy("i", "v", "n_words", "n_removed", "kept_sha256").agg(F.count("*").alias("k"))
@@ -264,7 +264,7 @@ def remove(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     """
     r = Repeats(docs, window, id_col, text_col)
     keyed = docs.withColumn(_I, row_id(id_col)).withColumn(_V, r.version)
-    marked = keyed.join(r.at.toDF(_I, _V, _AT), [_I, _V], "left").join(r.later.select(F.col("i").alias(_I), F.lit(True).alias(_COPY)), _I, "left")
+    marked = keyed.join(r.at.toDF(_I, _V, _AT), [_I, _V], "left").join(r.later.select(F.col("i").alias(_I), F.col("v").alias(_V), F.lit(True).alias(_COPY)), [_I, _V], "left")
     twice = r.scratch.save(r.docs.where((F.col("i") == NULL_ID) & (F.col("n_words") >= window)).groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(F.lit(NULL_ID).alias(_I), F.col("v").alias(_V)), "twice")
     if twice.limit(1).count():  # of null ids with the same words, the first stands for the others
         same = r.scratch.save(marked.join(twice, [_I, _V], "left_semi").withColumn(_ROW, F.monotonically_increasing_id()), "same")

@@ -41,3 +41,9 @@ def test_op9_null_and_shared_ids_are_compared(spark):
     want = check_substrings(spark, rows)
     assert [x[1:3] for x in want if x[0] == 5] == [(30, 30)] and [x[1:3] for x in want if x[0] == 7] == [(26, 25)]
     assert sum(x[2] for x in want if x[0] is None) >= 75 and [x[2] for x in want if x[0] == 12] == [0, 0]
+
+
+def test_op9_only_the_copy_goes_not_its_id(spark):
+    a, b = words("A"), words("B")
+    want = check_substrings(spark, [(3, a), (5, a), (5, b), (6, words("C"))])
+    assert sorted(x[2] for x in want if x[0] == 5) == [0, 25]
