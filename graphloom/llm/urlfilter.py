@@ -1,7 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression with the literal tokens (runs of a-z and 0-9) that any url it matches must hold
-as whole tokens. How often each rule token occurs is counted over all urls; every rule is filed under its
+as whole tokens. Hosts are in lower case; in paths, A-Z ends a token, as it does for the rules' expressions. How often each rule token occurs is counted over all urls; every rule is filed under its
 rarest one. A url is cut into tokens, these fetch the candidate rules, and only those run their expression.
 Rules without a token are always candidates. Of the rules that match, the longest text wins, then the first.
 """
@@ -64,8 +64,9 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
     """
     kind = pages.schema[id_col].dataType.simpleString()
     known = sorted({t for r in rules for t in r.tokens})
-    address = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^?#]*)", 1)
-    tokens = F.array_intersect(F.split(F.translate(address, _UPPER, _SMALL), "[^a-z0-9]+"), F.array(*map(F.lit, known)))  # a url's tokens, each once
+    host, path = (F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)([^?#]*)", k) for k in (1, 2))
+    address = F.concat(F.translate(host, _UPPER, _SMALL), path)
+    tokens = F.array_intersect(F.split(address, "[^a-z0-9]+"), F.array(*map(F.lit, known)))  # a url's tokens, each once
     often = {r.t: r.n for r in pages.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # known tokens at most
 
     index: dict[str, list[int]] = {}
@@ -86,7 +87,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
                 m = _URL.match(url or "")
                 host, path = (m[1].translate(_LOWER), m[2]) if m else ("", "")
                 whole = host + path
-                tried = always + [k for t in set(cut.findall(whole.translate(_LOWER))) if t in index for k in index[t]]
+                tried = always + [k for t in set(cut.findall(whole)) if t in index for k in index[t]]
                 hits = [k for k in tried if compiled[k].search(whole)]
                 best = min(hits, key=lambda k: (texts[k][3], -len(texts[k][1]), k), default=None)
                 out.append((host, path, texts[best][1] if best is not None and not texts[best][3] else None, default if best is None else texts[best][2]))

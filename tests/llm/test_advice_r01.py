@@ -1,8 +1,12 @@
-"""Rows whose id is null or shared are compared like all others."""
+"""Rows whose id is null or shared are compared like all others; the url index loses no rule."""
 
 import hashlib
+import re
 
-from graphloom.llm import substring
+import duckdb
+
+from graphloom.llm import substring, urlfilter
+from graphloom.llm.oracles import ORACLES
 
 
 def words(name, n=25):
@@ -47,3 +51,17 @@ def test_op9_only_the_copy_goes_not_its_id(spark):
     a, b = words("A"), words("B")
     want = check_substrings(spark, [(3, a), (5, a), (5, b), (6, words("C"))])
     assert sorted(x[2] for x in want if x[0] == 5) == [0, 25]
+
+
+def test_op10_index_keeps_rules_beside_upper_case(spark):
+    rules = urlfilter.HOST_RULES + urlfilter.PATH_RULES
+    urls = ["http://A.info/loginPage", "http://a.info/adsManager/1", "http://a.info/shop/MYcart", "http://a.info/LOGIN", "http://a.info/xlogin", "http://COM/en/Q", "http://a.info/En/popupX?login"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host + r.path, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
+    for whole, verdict in got.values():
+        hits = [x for x in rules if re.search(x.regex, whole, re.S)]
+        assert verdict == (min(hits, key=lambda x: (x.layer, -len(x.text))).verdict if hits else "allow"), whole
+    assert [got[k][1] for k in range(7)] == ["block", "block", "block", "allow", "allow", "block", "block"]
+    c = duckdb.connect()
+    c.sql("create table pages as select * from (values " + ", ".join(f"({k}, '{u}')" for k, u in enumerate(urls)) + ") t(page_id, url)")
+    assert {r[0]: r[4] for r in c.sql(ORACLES["op10_url_filter"]).fetchall()} == {k: v for k, (_, v) in got.items()}
