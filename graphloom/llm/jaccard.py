@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, as_bytes, components, free, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
 from .substring import sequence_hashes
 
+#: Columns beside those of the documents, which may have any other name.
+_I, _ROW = "__graphloom_id", "__graphloom_row"
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -204,7 +206,14 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; rows that repeat an id stay together."""
-    g = Groups(docs, k, percent, id_col, text_col)
-    kept = g.docs.where("i = component").select(null_again(F.col("i")).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs whose id is the smallest of their component; rows that repeat an id stay together. Each row
+    with a null id is a document of its own, before all others; of several in a component, any one stays."""
+    given, scratch = F.col(id_col), Scratch(docs.sparkSession, "keep_one")
+    rows, nulls = docs.where(given.isNotNull()).withColumn(_I, given.cast("long")), docs.where(given.isNull())
+    if nulls.limit(1).count():  # numbered below the least id, and stored, as numbers change when they are made again
+        least = docs.agg(F.coalesce(F.min(given.cast("long")), F.lit(0))).first()[0]
+        numbered = scratch.save(nulls.withColumn(_ROW, F.monotonically_increasing_id()), "nulls")
+        rows = rows.union(numbered.withColumn(_I, F.lit(least).cast("long") - 1 - F.col(_ROW)).drop(_ROW))
+    g = Groups(rows, k, percent, _I, text_col)
+    kept = g.docs.where("i = component").select(F.col("i").alias(_I)).distinct()
+    return rows.join(kept, _I, "left_semi").select(*docs.columns)

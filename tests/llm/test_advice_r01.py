@@ -5,7 +5,8 @@ import re
 
 import duckdb
 
-from graphloom.llm import substring, urlfilter
+import corpus_pipeline
+from graphloom.llm import jaccard, substring, urlfilter
 from graphloom.llm.oracles import ORACLES
 
 
@@ -65,3 +66,15 @@ def test_op10_index_keeps_rules_beside_upper_case(spark):
     c = duckdb.connect()
     c.sql("create table pages as select * from (values " + ", ".join(f"({k}, '{u}')" for k, u in enumerate(urls)) + ") t(page_id, url)")
     assert {r[0]: r[4] for r in c.sql(ORACLES["op10_url_filter"]).fetchall()} == {k: v for k, (_, v) in got.items()}
+
+
+def test_pipeline_keeps_one_of_null_ids(spark):
+    a, b, c = words("A", 60), words("B", 60), words("C", 60)
+    rows = [(None, a), (None, a), (None, f"{a} near"), (1, a), (None, b), (None, f"{b} near"), (-4, c), (3, c), (2, words("D")), (None, words("E")), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, (r.text or "").split(" ")[0]) for r in jaccard.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, "A0"), (None, "B0"), (-4, "C0"), (2, "D0"), (None, "E0"), (None, ""), (None, "")], key=str)
+    docs = df.where("doc_id is null")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, "")
+    assert sorted((r.text or "").split(" ")[0] for r in docs.collect()) == ["", "", "A0", "B0", "E0"]
