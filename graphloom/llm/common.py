@@ -73,6 +73,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def broadcast_if_small(stored: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of a few numbers a row, to be sent to all executors if it has at most so many rows; beyond
+    that it is joined by a shuffle."""
+    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
 def row_id(col: str) -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 

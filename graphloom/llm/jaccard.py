@@ -1,39 +1,46 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Documents with equal sets are one class, told by a 128-bit hash of the set, and only class representatives go
-on. Sizes are cut into bands; in the instance of a band, two sets that are similar enough differ in at most k
-features. The feature domain is cut into n partitions, n > k, and a set's signatures are hashes of what it holds
-in one partition each: at least n - k partitions are equal in similar sets, so they share a signature. A set
-signs for its own band, and for the next one if it may have partners there.
-
-The spare partitions (n = k + 1 + spare) let a set leave out partitions with very few features, which many
-unrelated sets would share: equal partitions are sparse in both sets, so as long as no more than spare are left
-out, one that both sign remains; sets with more sparse partitions than that sign all.
-
-Links need not be found pair by pair, as components are asked for. In every signature's bucket one member, the
-pivot, is compared with the others; by the triangle inequality of the Jaccard distance, others can only be
-similar if their distances from the pivot are, so the bucket is dealt into overlapping rings of distance.
-Rings that hold more than one component get further pivots, two and then four times as many in each round,
-that are compared with the members of other components, until every ring is one component or all its members have been pivots.
-No group is collected and all comparisons are exact, on the whole sets.
+Documents with equal sets are one class, told by a 128-bit hash of the set, and only class representatives are
+compared. Sizes are cut into bands; in the instance of a band, two sets that are similar enough differ in at most
+k features. The feature domain is cut into first-level partitions and each of these into three second-level ones.
+A signature is a hash of what a set holds in two of the three: all such subsets are enumerated. If a first-level
+partition holds no difference, similar sets share all three of its signatures, with one difference they share one;
+as there are more first-level partitions than k differences can spoil, they share at least ``need`` signatures. A
+set signs for its own band, and for the next one if it may have partners there.
+
+Signatures that very many sets share (of nearly empty partitions, or of a common passage) tell little. As similar
+sets share ``need`` of them, each set may leave out its need - 1 most common ones of a band: in an order that is
+the same for all, the rarest shared signature is left out by neither.
+
+Links need not be found pair by pair, as components are asked for. In every signature's bucket the least member is
+compared with the others. In buckets that then hold several components, only pairs with an end outside the
+bucket's largest component are open. These are looked at in tiles, by histograms of the sets' hashes: the distance
+of two histograms is never more than the number of features in which the sets differ. What that leaves is compared
+exactly, on the whole sets. No pairs are listed but those that the histograms leave.
 """
 
 from __future__ import annotations
 
 import bisect
-import math
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, components, free, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
+from .common import Scratch, as_bytes, broadcast_if_small, components, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
 from .substring import sequence_hashes
 
 #: Columns beside those of the documents, which may have any other name.
 _I, _ROW = "__graphloom_id", "__graphloom_row"
 _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Second-level partitions of one of the first level, and how many of them a signature covers.
+SECOND, COVERED = 3, 2
+#: Low bits of a signature that hold its band.
+BAND_BITS = 12
+#: Members of a bucket that are compared with as many others at once.
+TILE = 256
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -52,62 +59,85 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def width(n: int) -> int:
+    """Cells of the histogram of a set of size n: a power of two, about a third of n."""
+    return 1 << max(5, min(12, (max(1, n) // 4 - 1).bit_length()))
+
+
+def histogram(s: np.ndarray) -> np.ndarray:
+    w = width(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(64 - w.bit_length() + 1)).astype(np.int64), minlength=w), 255).astype(np.uint8)
+
+
 class PartEnum:
-    """Signatures for Jaccard similarity of at least percent / 100."""
+    """Signatures for Jaccard similarity of at least percent / 100.
+
+    spare: first-level partitions beyond those that k differences can spoil, as a share of them; bits: of a
+    signature's hash.
+    """
 
-    def __init__(self, percent: int):
-        self.percent, self.first, self.last = percent, [1], []
-        self.parts: list[tuple[int, int, int]] = []  # of each band: partitions, spare ones, features of a partition that isn't sparse
+    def __init__(self, percent: int, bits: int = 52, spare: float = 0.2):
+        self.percent, self.bits, self.spare, self.first = percent, bits, spare, [1]
+        self.bands: list[tuple[int, int, int]] = []  # of each: differences, first-level partitions, signatures that similar sets share at least
+        self.subsets = np.array([[q in c for c in itertools.combinations(range(SECOND), COVERED)] for q in range(SECOND)], np.uint64)
 
-    def _grow(self, n: int) -> None:
+    def grow(self, n: int) -> None:
         while self.first[-1] <= n * 2 + 2:
             a = self.first[-1]
             b = max(a, a * 10_000 // self.percent**2)
             k = 2 * b * (100 - self.percent) // (100 + self.percent)
-            spare = (k + 1) // 5
-            mean, least, total, term = max(1e-9, (a * b) ** 0.5 / (k + 1 + spare)), 0, 0.0, 0.0
-            while least < 8:  # the most that leaves few enough partitions sparse
-                term = math.exp(-mean) if not least else term * mean / least
-                total += term
-                if total > 0.13:
-                    break
-                least += 1
-            self.last.append(b)
-            self.parts.append((k + 1 + spare if k else 0, spare, least))
+            parts = int((k // 2 + 1) * (1 + self.spare))
+            self.bands.append((k, parts, SECOND * parts - 2 * k if k <= parts else 2 * parts - k))
             self.first.append(b + 1)
+        if len(self.bands) >= 1 << BAND_BITS:
+            raise ValueError("a similarity so near 100 has too many bands")
+
+    def least(self, band: int) -> int:
+        """The smallest size that signs for the band."""
+        return -(-self.percent * self.first[band] // 100)
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
         if not n:
             return np.empty(0, np.uint64)
-        self._grow(n)
+        self.grow(n)
         band = bisect.bisect_right(self.first, n) - 1
-        out = []
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(s ^ _C1), out=sums[1:])
+        out = []
         for b in [band] + [band + 1] * (n * 100 >= self.percent * self.first[band + 1]):
-            parts, spare, least = self.parts[b]
-            if not parts:  # only equal sets are similar
+            k, parts, _ = self.bands[b]
+            if not k:  # only equal sets are similar
                 continue
-            cut = np.searchsorted(s, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)), side="left")
+            cells = parts * SECOND
+            cut = np.searchsorted(s, np.arange(1, cells, dtype=np.uint64) * np.uint64((1 << 64) // cells))
             ends = np.concatenate([[0], cut, [n]])
-            size = np.diff(ends)
-            sig = mix((sums[ends[1:]] - sums[ends[:-1]]) + mix(np.arange(parts, dtype=np.uint64) + np.uint64(b << 40)) + size.astype(np.uint64) * _C2)
-            sparse = size < least
-            out.append(sig[~sparse] if sparse.sum() <= spare else sig)
+            held = (sums[ends[1:]] - sums[ends[:-1]]).reshape(parts, SECOND)
+            place = mix(np.arange(parts * SECOND, dtype=np.uint64) + np.uint64(b << 40)).reshape(parts, SECOND)
+            h = mix(held @ self.subsets + place).ravel() >> np.uint64(64 - self.bits)
+            out.append(h << np.uint64(BAND_BITS) | np.uint64(b))
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _sign(k: int, percent: int):
+def _classes(k: int):
     def run(batches):
-        sign = PartEnum(percent)
         for part in slices(batches, "t"):
             sets = shingle_sets(as_bytes(part, "t"), k)
-            sigs = [sign(s) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
             h = [pa.array(np.array([mix(s ^ c).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for c in (_C1, _C2)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part, "i")), pa.array([len(s) for s in sets], pa.int64()), *h, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["i", "n", "h", "g", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part, "i")), pa.array([len(s) for s in sets], pa.int64()), *h, pa.array([histogram(s).tobytes() for s in sets], pa.binary())], names=["i", "n", "h", "g", "m"])
+
+    return run
+
+
+def _sign(k: int, percent: int, bits: int):
+    def run(batches):
+        sign = PartEnum(percent, bits)
+        for part in slices(batches, "t"):
+            sigs = [sign(s) for s in shingle_sets(as_bytes(part, "t"), k)]
+            who = np.repeat(ids_of(part, "i"), [len(x) for x in sigs])
+            flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
+            for at in range(0, len(who), 1 << 19):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 19)]), pa.array(who[at : at + (1 << 19)])], names=["sig", "i"])
 
     return run
 
@@ -116,80 +146,177 @@ def _sets(k: int):
     def run(batches):
         for part in slices(batches, "t"):
             sets = shingle_sets(as_bytes(part, "t"), k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part, "i")), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["i", "s"])
+            cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part, "i")), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["i", "s"])
 
     return run
 
 
-def _compare(batches):
-    for part in slices(batches, "x", 16 << 20):
-        rows = []
-        for a, b, x, y in zip(*[values(part, c).to_pylist() for c in ("a", "b", "x", "y")]):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            rows.append((a, b, len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a", "b", "both", "x", "y"])
+def folded(raw: list[bytes], w: int) -> np.ndarray:
+    """Histograms as rows of w cells each; longer ones are added up."""
+    out = np.empty((len(raw), w), np.int32)
+    sizes = np.array([len(x) for x in raw])
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        out[at] = np.frombuffer(b"".join([raw[j] for j in at]), np.uint8).reshape(len(at), w, n // w).sum(axis=2, dtype=np.int32)
+    return out
+
+
+def differences(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """The most features in which similar sets of these sizes differ; -1 where sets of such sizes aren't similar."""
+    fits = np.minimum(x, y) * 100 >= percent * np.maximum(x, y)
+    return np.where(fits, (x + y) * (100 - percent) // (100 + percent), -1)
+
+
+def _plausible(percent: int):
+    """Of pairs a, b with sizes x, y and histograms mx, my, those that may be similar."""
+
+    def run(batches):
+        for part in slices(batches, "mx", 4 << 20):
+            a, b, x, y = (values(part, c).to_numpy() for c in ("a", "b", "x", "y"))
+            most = differences(x, y, percent)
+            mx, my = values(part, "mx").to_pylist(), values(part, "my").to_pylist()
+            w = np.array([min(len(p), len(q)) for p, q in zip(mx, my)])
+            keep = np.zeros(len(a), bool)
+            for n in np.unique(w[most >= 0]).tolist():
+                at = np.flatnonzero((w == n) & (most >= 0))
+                keep[at] = np.abs(folded([mx[j] for j in at], n) - folded([my[j] for j in at], n)).sum(axis=1) <= most[at]
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return run
+
+
+_TILES = pa.schema([("sig", pa.int64()), ("minor", pa.bool_()), ("lo", pa.int64()), ("hi", pa.int64()), ("ids", pa.binary()), ("comps", pa.binary()), ("sizes", pa.binary()), ("cells", pa.binary())])
+_TILES_SQL = "sig long, minor boolean, lo long, hi long, ids binary, comps binary, sizes binary, cells binary"
+
+
+def _tiles(percent: int):
+    """Rows (sig, i, c, minor, n, m), sorted by sig, as rows of up to TILE members of one bucket."""
+
+    def run(batches):
+        bands = PartEnum(percent)
+        for part in slices(batches, "m", 4 << 20):
+            sig, i, c, n = (values(part, x).to_numpy() for x in ("sig", "i", "c", "n"))
+            if not len(sig):
+                continue
+            minor, m = values(part, "minor").to_numpy(zero_copy_only=False), values(part, "m").to_pylist()
+            ends = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), len(sig)]
+            cuts = [x for p, q in zip(ends, ends[1:]) for x in range(p, q, TILE)] + [len(sig)]
+            rows = []
+            for p, q in zip(cuts, cuts[1:]):
+                band = int(sig[p]) & (1 << BAND_BITS) - 1
+                while len(bands.bands) <= band:
+                    bands.grow(bands.first[-1])
+                cells = np.minimum(folded(m[p:q], width(bands.least(band))), 255).astype(np.uint8)
+                rows.append((int(sig[p]), bool(minor[p:q].any()), int(n[p:q].min()), int(n[p:q].max()), i[p:q].astype("<i8").tobytes(), c[p:q].astype("<i8").tobytes(), n[p:q].astype("<i8").tobytes(), cells.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _TILES)], schema=_TILES)
+
+    return run
+
+
+def _between(percent: int):
+    """Of two tiles of a bucket, the pairs of different components that may be similar, the smaller id first."""
+
+    def run(batches):
+        for part in slices(batches, "cells_b", 2 << 20):
+            found = [(np.empty(0, np.int64),) * 2]
+            for k in range(part.num_rows):
+                get = lambda x, t: np.frombuffer(values(part, x)[k].as_buffer(), t)  # noqa: B023, E731
+                (ia, ib), (ca, cb), (na, nb) = ([get(x + s, "<i8") for s in ("_a", "_b")] for x in ("ids", "comps", "sizes"))
+                xa, xb = (get("cells" + s, np.uint8).reshape(n, -1).astype(np.int16) for s, n in (("_a", len(ia)), ("_b", len(ib))))
+                most = np.where(ca[:, None] != cb[None], differences(na[:, None], nb[None], percent), -1)
+                step = max(1, (1 << 20) // max(1, xb.size))
+                for at in range(0, len(ia), step):
+                    p, q = np.nonzero(most[at : at + step] >= 0)
+                    if len(p) * 4 > xb.shape[0] * min(step, len(ia) - at):
+                        near = np.abs(xa[at : at + step, None] - xb[None]).sum(axis=2, dtype=np.int32)[p, q]
+                    else:
+                        near = np.abs(xa[at + p] - xb[q]).sum(axis=1, dtype=np.int32)
+                    ok = near <= most[at + p, q]
+                    found.append((ia[at + p[ok]], ib[q[ok]]))
+            a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+            once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+
+    return run
 
 
 class Groups:
     """The components of documents whose shingle sets are similar: `docs` (i, n, component) of every row."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text"):
-        self.percent, self.scratch = percent, Scratch(docs.sparkSession, "jaccard")
+        self.k, self.percent, self.scratch = k, percent, Scratch(docs.sparkSession, "jaccard")
         save = self.scratch.save
-        texts = docs.select(row_id(id_col).alias("i"), F.col(text_col).alias("t"))
-        signed = save(texts.mapInArrow(_sign(k, percent), "i long, n long, h long, g long, sigs array<long>"), "signed")
-        heads = save(signed.where("n > 0").groupBy("n", "h", "g").agg(F.min("i").alias("head")), "heads")
-        copies = save(signed.where("n > 0").join(heads, ["n", "h", "g"]).where("i <> head").select("i").distinct(), "copies")
-        sigs = signed.select("i", F.explode("sigs").alias("sig"))
-        shared = save(sigs.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "shared")
-        free()
-        members = save(sigs.join(shared, "sig", "left_semi").join(copies, "i", "left_anti"), "members")
-        free()
-        self.sets = save(texts.join(members.select("i").distinct(), "i", "left_semi").mapInArrow(_sets(k), "i long, s binary"), "sets")
-        free()
-        roots = self._resolve(members)
-        slim = signed.select("i", "n", "h", "g").join(heads, ["n", "h", "g"], "left").join(roots.select(F.col("id").alias("head"), "component"), "head", "left")
+        self.texts = docs.select(row_id(id_col).alias("i"), F.col(text_col).alias("t"))
+        self.seen = save(self.texts.mapInArrow(_classes(k), "i long, n long, h long, g long, m binary"), "seen")
+        slim = self.seen.select("i", "n", "h", "g").where("n > 0")
+        heads = save(slim.groupBy("n", "h", "g").agg(F.min("i").alias("head")), "heads")
+        copies = save(slim.join(heads, ["n", "h", "g"]).where("i <> head").select("i", "head").distinct(), "copies")
+        # an id that repeats may be the first of one set and a copy of another; it stays, and links both
+        firsts = heads.select(F.col("head").alias("i"))
+        twins = copies.join(firsts, "i", "left_semi").select(F.col("head").alias("a"), F.col("i").alias("b"))
+        members = self._members(copies.select("i").distinct().join(firsts, "i", "left_anti"))
+        roots = self._resolve(members, twins)
+        slim = self.seen.select("i", "n", "h", "g").join(heads, ["n", "h", "g"], "left").join(roots.select(F.col("id").alias("head"), "component"), "head", "left")
         self.docs = slim.select("i", "n", F.coalesce("component", "head", "i").alias("component"))
 
-    def _compared(self, pairs: DataFrame) -> DataFrame:
-        """a, b, both, x, y: the sizes of the intersection and of both sets, for the distinct pairs."""
-        found = pairs.join(self.sets.select(F.col("i").alias("b"), F.col("s").alias("y")), "b").join(self.sets.select(F.col("i").alias("a"), F.col("s").alias("x")), "a")
-        return self.scratch.save(found.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long, both long, x long, y long"), "compared")
-
-    def _links(self, compared: DataFrame) -> DataFrame:
-        return compared.where(F.col("both") * 100 >= F.lit(self.percent) * (F.col("x") + F.col("y") - F.col("both"))).select("a", "b")
-
-    def _resolve(self, members: DataFrame) -> DataFrame:
+    def _members(self, copies: DataFrame) -> DataFrame:
+        """sig, a, i: the buckets with several members, each set of members once; a is the least of them."""
         save = self.scratch.save
-        pivot = members.groupBy("sig").agg(F.min("i").alias("a"), F.max("i").alias("z")).where("a <> z").select("sig", "a")
-        held = members.join(pivot, "sig").select("sig", "a", F.col("i").alias("b"))
-        compared = self._compared(held.where("a <> b").select("a", "b").distinct())
-        links = self._links(compared)
+        size = self.seen.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        bits = min(64 - BAND_BITS, 10 + int(size["all"] or 0).bit_length())  # a thousand hashes for each signature
+        sign = PartEnum(self.percent)
+        sign.grow(int(size["most"] or 0))
+        signed = self.texts.mapInArrow(_sign(self.k, self.percent, bits), "sig long, i long")
+        shared = save(signed.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "shared")
+        held = signed.join(shared, "sig").join(copies, "i", "left_anti").distinct()
+        spare = F.element_at(F.array(*[F.lit(need - 1) for _, _, need in sign.bands]), (F.col("band") + 1).cast("int"))
+        order = Window.partitionBy("i", "band").orderBy(F.desc("often"), "sig")  # no more than one document's signatures
+        kept = held.withColumn("band", F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)).withColumn("r", F.row_number().over(order)).where(F.col("r") > spare)
+        kept = save(kept.select("sig", "i"), "kept")
+        buckets = kept.groupBy("sig").agg(F.count("*").alias("k"), F.min("i").alias("a"), F.max("i").alias("z"), F.bit_xor(F.xxhash64("i")).alias("x"), F.bit_xor(F.xxhash64("i", F.lit(1))).alias("y")).where("k > 1")
+        band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
+        once = buckets.groupBy("k", "a", "z", "x", "y", band).agg(F.min("sig").alias("sig")).select("sig", "a")
+        return save(kept.join(once, "sig").select("sig", "a", "i"), "members")
+
+    def _links(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs that may be similar, stored, those that are."""
+        ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
+        sets = self.scratch.save(self.texts.join(broadcast_if_small(self.scratch.save(ids, "ids")), "i", "left_semi").mapInArrow(_sets(self.k), "i long, s array<long>"), "sets")
+        x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+        both = pairs.join(y, "b").join(x, "a").select("a", "b", F.size("x").alias("n"), F.size("y").alias("o"), F.size(F.array_intersect("x", "y")).alias("both"))
+        return self.scratch.save(both.where(F.col("both") * 100 >= F.lit(self.percent) * (F.col("n") + F.col("o") - F.col("both"))).select("a", "b"), "links")
+
+    def _resolve(self, members: DataFrame, twins: DataFrame) -> DataFrame:
+        save = self.scratch.save
+        maps = self.seen.select("i", "n", "m")
+        star = members.where("a <> i").select("a", F.col("i").alias("b")).distinct()
+        known = star.join(maps.toDF("b", "y", "my"), "b").join(maps.toDF("a", "x", "mx"), "a")
+        near = save(known.select("a", "b", "x", "y", "mx", "my").mapInArrow(_plausible(self.percent), "a long, b long").distinct(), "near")
+        links = self._links(near).union(twins)
         roots = save(components(self.scratch, links), "roots")
-        # rings of the similarity's width around the pivot; each member is in two, so that near ones share one
-        width = (100 - self.percent) / 100 + 1e-9
-        far = held.join(compared, ["a", "b"], "left").withColumn("ring", F.when(F.col("a") == F.col("b"), 0).otherwise(F.floor((1 - F.col("both") / (F.col("x") + F.col("y") - F.col("both"))) / width)).cast("int"))
-        # the pivot has been compared with all others
-        rings = far.where("a <> b").select(F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"), "sig", F.col("b").alias("i"))
-        left, times = save(self._open(rings.select(F.xxhash64("sig", "ring").alias("sig"), "i"), roots), "open"), 0
-        while left.limit(1).count():
-            order = Window.partitionBy("sig").orderBy(F.xxhash64("i", "sig"), "i")
-            ranked = save(left.withColumn("r", F.row_number().over(order)), "ranked")
-            most = 2 * 4**times
-            new = ranked.where(F.col("r") <= most).select("sig", F.col("i").alias("a"), F.col("c").alias("ca"))
-            pairs = ranked.join(new, "sig").where((F.col("c") != F.col("ca")) & (F.col("i") != F.col("a"))).select(F.least("a", "i").alias("a"), F.greatest("a", "i").alias("b")).distinct()
-            links = links.union(self._links(self._compared(pairs)))
-            roots = save(components(self.scratch, links), "roots")
-            left, times = save(self._open(ranked.where(F.col("r") > most).select("sig", "i"), roots), "open"), times + 1
-            self.scratch.drop(ranked)
-        return roots
-
-    @staticmethod
-    def _open(rings: DataFrame, roots: DataFrame) -> DataFrame:
-        """sig, i, c (component) of the members of rings with more than one component."""
-        now = rings.join(roots.withColumnRenamed("id", "i"), "i", "left").select("sig", "i", F.coalesce("component", "i").alias("c"))
-        several = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-        return now.join(several, "sig", "left_semi")
+        now = save(members.join(roots.withColumnRenamed("id", "i"), "i", "left").select("sig", "i", F.coalesce("component", "i").alias("c")), "now")
+        parts = now.groupBy("sig", "c").agg(F.count("*").alias("k"))
+        several = parts.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sig", "main")
+        unsettled = now.join(several, "sig").join(maps, "i").select("sig", "i", "c", (F.col("c") != F.col("main")).alias("minor"), "n", "m")
+        return self._settle(unsettled, links, roots)
+
+    def _settle(self, unsettled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+        """The components after all pairs of a bucket have been looked at that have an end outside its largest one."""
+        save = self.scratch.save
+        dealt = save(unsettled.repartitionByRange("sig", F.desc("minor"), "n", "i").sortWithinPartitions("sig", F.desc("minor"), "n", "i").mapInArrow(_tiles(self.percent), _TILES_SQL), "tiles")
+        cols = [c for c in dealt.columns if c != "sig"]
+        a, b = (dealt.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
+        before: Column = (F.col("minor_a") & ~F.col("minor_b")) | ((F.col("minor_a") == F.col("minor_b")) & (F.struct("lo_a", "hi_a", "ids_a") <= F.struct("lo_b", "hi_b", "ids_b")))
+        fits = (F.col("hi_b") * 100 >= F.col("lo_a") * self.percent) & (F.col("hi_a") * 100 >= F.col("lo_b") * self.percent)
+        met = a.join(b, "sig").where(F.col("minor_a") & before & fits)
+        near = save(met.select(*[f"{c}_{s}" for c in ("ids", "comps", "sizes", "cells") for s in "ab"]).mapInArrow(_between(self.percent), "a long, b long").distinct(), "near")
+        more = self._links(near)
+        if not more.limit(1).count():
+            return roots
+        return save(components(self.scratch, links.union(more)), "roots")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,5 +342,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
         numbered = scratch.save(nulls.withColumn(_ROW, F.monotonically_increasing_id()), "nulls")
         rows = rows.union(numbered.withColumn(_I, F.lit(least).cast("long") - 1 - F.col(_ROW)).drop(_ROW))
     g = Groups(rows, k, percent, _I, text_col)
-    kept = g.docs.where("i = component").select(F.col("i").alias(_I)).distinct()
-    return rows.join(kept, _I, "left_semi").select(*docs.columns)
+    dropped = g.docs.where("i <> component").select(F.col("i").alias(_I)).distinct()
+    return rows.join(broadcast_if_small(scratch.save(dropped, "dropped")), _I, "left_anti").select(*docs.columns)
