@@ -4,21 +4,44 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder. Without either, a temporary folder of this machine
+    where all tasks run on it; on a cluster that would be another folder on each machine, so it is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+@contextmanager
+def without_shuffles(spark: SparkSession):
+    """What is run inside leaves no shuffle files behind, as its result is stored."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a written table: its lineage is cut, and it survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with without_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
