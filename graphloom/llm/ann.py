@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from .vectors import matrix, usable
 
 #: Rows that the centroids and codebooks are fitted on.
 SAMPLE = 20_000
-BLOCK, QUERY_BLOCK = 1024, 128
+BLOCK, QUERY_BLOCK = 1024, 1024
 PARTS, WORDS = 16, 256
 
 
@@ -75,12 +76,14 @@ def _blocks(d: int, index, size: int, coded: bool):
     names = ["list", "block", "ids", "x", "codes"]
 
     def run(batches):
-        held, n, of = [], 0, None
+        held, n, of, block = [], 0, None, TaskContext.get().partitionId() << 32
 
         def out():
+            nonlocal block
+            block += 1
             ids, x = (np.concatenate([h[k] for h in held]) for k in range(2))
             codes = index.value.code(x)[1] if coded else np.empty(0, np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([of]), pa.array([int(ids[0])]), *[pa.array([z.tobytes()], pa.binary()) for z in (ids, x.astype("<f8"), codes)]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([of]), pa.array([block]), *[pa.array([z.tobytes()], pa.binary()) for z in (ids, x.astype("<f8"), codes)]], names=names)
 
         for b in batches:
             lists, ids, x = values(b, "list").to_numpy(), values(b, "i").to_numpy(), matrix(values(b, "v"), d)
@@ -164,7 +167,7 @@ def search(rows: DataFrame, queries: Column, k: int = 20, probe_share: float = 0
     kind = rows.schema[id_col].dataType
     if not d:
         return spark.createDataFrame([], f"query_id {kind.simpleString()}, rank int, `{id_col}` {kind.simpleString()}, score double")
-    found = scratch.save(found, "found")
+    found = scratch.save(found.distinct(), "found")
     n = found.count()
     share = min(1.0, 1.5 * SAMPLE / n)
     near = found.where(F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("i", F.lit("sample")), "i").limit(SAMPLE).select("v")

@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shared_dir, without_shuffles
+
 #: Stands for a null id inside the operators, so that ids can be joined and compared.
 NULL_ID = -(2**63)
 #: Text that is worked on at once in a Python worker.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        at = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables of one operator call, stored in the shared folder.
 
@@ -48,7 +35,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        with without_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._graphloom_path = path
         return out
@@ -58,15 +46,6 @@ class Scratch:
             remove(self.spark, df._graphloom_path)
 
 
-def free() -> None:
-    """Lets shuffle files of stages whose results are stored go: they do when the driver collects its garbage.
-    It takes two rounds, as the first only lets go of what Python and finished queries still held."""
-    for _ in range(2):
-        gc.collect()
-        SparkContext._active_spark_context._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

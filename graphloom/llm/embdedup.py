@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,15 +95,17 @@ def _tiles(d: int, turn: np.ndarray):
     names = ["tile", "label", "lo", "hi", "ids", "counts", "x", "y"]
 
     def run(batches):
-        held, label = [], None
+        held, label, tile = [], None, TaskContext.get().partitionId() << 32
 
         def out():
+            nonlocal tile
+            tile += 1
             ids, counts, x = (np.concatenate([h[k] for h in held]) for k in range(3))
             y = ((x / norms(x)[:, None]) @ turn).astype("<f4")
-            return pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([label]), pa.array([float(y[:, 0].min())]), pa.array([float(y[:, 0].max())]), *[pa.array([z.tobytes()], pa.binary()) for z in (ids, counts, x.astype("<f8"), y)]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([tile]), pa.array([label]), pa.array([float(y[:, 0].min())]), pa.array([float(y[:, 0].max())]), *[pa.array([z.tobytes()], pa.binary()) for z in (ids, counts, x.astype("<f8"), y)]], names=names)
 
         for b in batches:
-            labels, ids, counts, x = values(b, "label").to_pylist(), values(b, "i").to_numpy(), values(b, "k").to_numpy(), matrix(values(b, "v"), d)
+            labels, ids, counts, x = values(b, "label").to_pylist(), values(b, "key").to_numpy(), values(b, "k").to_numpy(), matrix(values(b, "v"), d)
             at = 0
             while at < len(labels):
                 room = TILE - sum(len(h[0]) for h in held)
@@ -121,7 +124,7 @@ def _tiles(d: int, turn: np.ndarray):
 
 
 def _compare(d: int, threshold: float):
-    names = ["i", "links", "root"]
+    names = ["key", "links", "root"]
 
     def run(batches):
         for part in slices(batches, "xa", 2 << 20):
@@ -149,33 +152,46 @@ def dedup(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_
 
     Vectors link if their labels are equal and not null and their cosine is at least the threshold; those that
     take no part (see usable) have no links. component_id is the smallest id that links reach. Rows that repeat
-    an id and vector are one vector and come out each; rows that share an id otherwise are linked by any. A null
-    id is smaller than any other and comes back null; its row is kept if it is its component's first. Other columns are
-    not looked at. An empty table gives an empty table.
+    an id, label and vector are one vector and come out each; rows that share an id otherwise count their own
+    vector's links, and their components are one. A null id is smaller than any other and comes back null; its row
+    is kept if it is its component's first. Other columns are not looked at. An empty table gives an empty table.
     """
     scratch = Scratch(rows.sparkSession, "embdedup")
-    every = rows.select(row_id(id_col).alias("i"))
-    named = rows.where(F.col(label_col).isNotNull()).withColumn("_label", F.col(label_col).cast("string"))
-    found, d = usable(named, id_col, vec_col, F.col("_label").alias("label"))
+    given = rows.select(row_id(id_col).alias("i"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("v"))
+    every = scratch.save(given.withColumn("row", F.monotonically_increasing_id()), "every")
+    found, d = usable(every.where("label is not null"), "i", "v", "label", "row")
     if not d:
         return every.select(null_again(F.col("i")).alias(id_col), F.lit(0).cast("long").alias("n_links"), null_again(F.col("i")).alias("component_id"), F.lit(True).alias("kept"))
-    found = scratch.save(found, "found")
-    classes = scratch.save(found.groupBy("label", "v").agg(F.min("i").alias("i"), F.count("*").alias("k")), "classes")
+    classes = found.select("label", "v", "i").distinct().groupBy("label", "v").agg(F.min("i").alias("i"), F.count("*").alias("k"))
+    classes = scratch.save(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    got = _compared(scratch, classes, d, threshold)
+    of = scratch.save(found.join(classes.select("label", "v", "key"), ["label", "v"]).select("row", "i", "key"), "rows")
+    several = of.groupBy("i").agg(F.min("key").alias("b"), F.max("key").alias("z")).where("b <> z").select("i", "b")
+    same = of.join(several, "i").where("key <> b").select(F.col("key").alias("a"), "b")
+    roots = scratch.save(components(scratch, got.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(same)), "roots")
+    counts = got.groupBy("key").agg(F.sum("links").alias("links"))
+    each = classes.select("key", "k", "i").join(counts, "key", "left").join(roots.withColumnRenamed("id", "key"), "key", "left")
+    each = scratch.save(each.select("key", "i", (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "key").alias("root")), "each")
+    least = each.groupBy("root").agg(F.min("i").alias("least"))
+    of = of.select("row", "key").join(each.select("key", "links", "root"), "key").join(least, "root").select("row", "links", "least")
+    out = every.select("row", "i").join(of, "row", "left").select("i", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("least", "i").alias("c"))
+    return out.select(null_again(F.col("i")).alias(id_col), F.col("n_links").cast("long").alias("n_links"), null_again(F.col("c")).alias("component_id"), (F.col("i") == F.col("c")).alias("kept"))
+
+
+def _compared(scratch: Scratch, classes: DataFrame, d: int, threshold: float) -> DataFrame:
+    """key, links, root: what each pair of tiles has found for a class."""
     turn = axes(classes, d)
     first = [float(x) for x in turn[:, 0]]
     lead = F.aggregate(F.arrays_zip(F.col("v"), F.array(*map(F.lit, first)).alias("w")), F.lit(0.0), lambda s, z: s + z["v"] * z["w"]) / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, z: s + z * z))
-    ordered = classes.withColumn("lead", lead).repartitionByRange("label", "lead", "i").sortWithinPartitions("label", "lead", "i")
-    tiles = scratch.save(ordered.select("label", "i", "k", "v").mapInArrow(_tiles(d, turn), "tile long, label string, lo double, hi double, ids binary, counts binary, x binary, y binary"), "tiles")
-    head, reach = tiles.select("tile", "label", "lo", "hi"), (2 - 2 * threshold) ** 0.5 + 1e-5
-    a, b = (head.toDF("a", "label", "lo", "hi"), head.toDF("b", "label", "lo2", "hi2"))
-    pairs = a.join(b, "label").where((F.col("lo2") <= F.col("hi") + reach) & (F.col("lo") <= F.col("hi2") + reach) & ((F.col("lo") < F.col("lo2")) | ((F.col("lo") == F.col("lo2")) & (F.col("a") <= F.col("b"))))).select("a", "b")
-    pairs = scratch.save(pairs, "pairs")
+    ordered = classes.withColumn("lead", lead).repartitionByRange("label", "lead", "key").sortWithinPartitions("label", "lead", "key")
+    tiles = scratch.save(ordered.select("label", "key", "k", "v").mapInArrow(_tiles(d, turn), "tile long, label string, lo double, hi double, ids binary, counts binary, x binary, y binary"), "tiles")
+    reach = (2 - 2 * threshold) ** 0.5 + 1e-5
+    cell = lambda x: F.floor(x / F.lit(reach))
+    # of two tiles that may hold a pair, the second begins within the first or its reach
+    a = tiles.select(F.col("tile").alias("a"), "label", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") + reach))).alias("cell"))
+    b = tiles.select(F.col("tile").alias("b"), "label", F.col("lo").alias("begin"), cell(F.col("lo")).alias("cell"))
+    after = (F.col("begin") > F.col("lo")) | ((F.col("begin") == F.col("lo")) & (F.col("b") >= F.col("a")))
+    pairs = scratch.save(a.join(b, ["label", "cell"]).where(after & (F.col("begin") <= F.col("hi") + reach)).select("a", "b"), "pairs")
     side = lambda s: tiles.select(F.col("tile").alias(s), *[F.col(c).alias(c + s) for c in ("ids", "counts", "x", "y")])
     spread = pairs.join(side("a"), "a").join(side("b"), "b")
-    got = scratch.save(spread.mapInArrow(_compare(d, threshold), "i long, links long, root long"), "links")
-    roots = components(scratch, got.where("i <> root").select(F.col("i").alias("a"), F.col("root").alias("b")))
-    counts = got.groupBy("i").agg(F.sum("links").alias("links"))
-    each = classes.join(counts, "i", "left").join(roots.withColumnRenamed("id", "i"), "i", "left").select("label", "v", (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "i").alias("component"))
-    of = found.join(each, ["label", "v"]).groupBy("i").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
-    out = every.join(of, "i", "left").select("i", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component", "i").alias("c"))
-    return out.select(null_again(F.col("i")).alias(id_col), F.col("n_links").cast("long").alias("n_links"), null_again(F.col("c")).alias("component_id"), (F.col("i") == F.col("c")).alias("kept"))
+    return scratch.save(spread.mapInArrow(_compare(d, threshold), "key long, links long, root long"), "links")

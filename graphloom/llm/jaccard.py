@@ -39,6 +39,8 @@ _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 SECOND, COVERED = 3, 2
 #: Low bits of a signature that hold its band.
 BAND_BITS = 12
+#: Cells of the histograms that all pairs of a tile are compared by, before those that are left are by all cells.
+COARSE = 32
 #: Members of a bucket that are compared with as many others at once.
 TILE = 256
 
@@ -60,8 +62,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 
 
 def width(n: int) -> int:
-    """Cells of the histogram of a set of size n: a power of two, about a third of n."""
-    return 1 << max(5, min(12, (max(1, n) // 4 - 1).bit_length()))
+    """Cells of the histogram of a set of size n: a power of two, n at least, so that few differences cancel out."""
+    return 1 << max(COARSE.bit_length() - 1, min(12, (max(1, n) - 1).bit_length()))
 
 
 def histogram(s: np.ndarray) -> np.ndarray:
@@ -191,29 +193,20 @@ _TILES = pa.schema([("sig", pa.int64()), ("minor", pa.bool_()), ("lo", pa.int64(
 _TILES_SQL = "sig long, minor boolean, lo long, hi long, ids binary, comps binary, sizes binary, cells binary"
 
 
-def _tiles(percent: int):
+def _tiles(batches):
     """Rows (sig, i, c, minor, n, m), sorted by sig, as rows of up to TILE members of one bucket."""
-
-    def run(batches):
-        bands = PartEnum(percent)
-        for part in slices(batches, "m", 4 << 20):
-            sig, i, c, n = (values(part, x).to_numpy() for x in ("sig", "i", "c", "n"))
-            if not len(sig):
-                continue
-            minor, m = values(part, "minor").to_numpy(zero_copy_only=False), values(part, "m").to_pylist()
-            ends = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), len(sig)]
-            cuts = [x for p, q in zip(ends, ends[1:]) for x in range(p, q, TILE)] + [len(sig)]
-            rows = []
-            for p, q in zip(cuts, cuts[1:]):
-                band = int(sig[p]) & (1 << BAND_BITS) - 1
-                while len(bands.bands) <= band:
-                    bands.grow(bands.first[-1])
-                cells = np.minimum(folded(m[p:q], width(bands.least(band))), 255).astype(np.uint8)
-                rows.append((int(sig[p]), bool(minor[p:q].any()), int(n[p:q].min()), int(n[p:q].max()), i[p:q].astype("<i8").tobytes(), c[p:q].astype("<i8").tobytes(), n[p:q].astype("<i8").tobytes(), cells.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _TILES)], schema=_TILES)
-
-    return run
+    for part in slices(batches, "m", 4 << 20):
+        sig, i, c, n = (values(part, x).to_numpy() for x in ("sig", "i", "c", "n"))
+        if not len(sig):
+            continue
+        minor, m = values(part, "minor").to_numpy(zero_copy_only=False), values(part, "m").to_pylist()
+        ends = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), len(sig)]
+        cuts = [x for p, q in zip(ends, ends[1:]) for x in range(p, q, TILE)] + [len(sig)]
+        rows = []
+        for p, q in zip(cuts, cuts[1:]):
+            cells = np.minimum(folded(m[p:q], min(map(len, m[p:q]))), 255).astype(np.uint8)
+            rows.append((int(sig[p]), bool(minor[p:q].any()), int(n[p:q].min()), int(n[p:q].max()), i[p:q].astype("<i8").tobytes(), c[p:q].astype("<i8").tobytes(), n[p:q].astype("<i8").tobytes(), cells.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _TILES)], schema=_TILES)
 
 
 def _between(percent: int):
@@ -225,17 +218,15 @@ def _between(percent: int):
             for k in range(part.num_rows):
                 get = lambda x, t: np.frombuffer(values(part, x)[k].as_buffer(), t)  # noqa: B023, E731
                 (ia, ib), (ca, cb), (na, nb) = ([get(x + s, "<i8") for s in ("_a", "_b")] for x in ("ids", "comps", "sizes"))
-                xa, xb = (get("cells" + s, np.uint8).reshape(n, -1).astype(np.int16) for s, n in (("_a", len(ia)), ("_b", len(ib))))
+                xa, xb = (get("cells" + x, np.uint8).reshape(n, -1) for x, n in (("_a", len(ia)), ("_b", len(ib))))
+                w = min(xa.shape[1], xb.shape[1])
+                (fa, sa), (fb, sb) = (tuple(x.reshape(len(x), v, -1).sum(axis=2, dtype=np.int16) for v in (w, COARSE)) for x in (xa, xb))
                 most = np.where(ca[:, None] != cb[None], differences(na[:, None], nb[None], percent), -1)
-                step = max(1, (1 << 20) // max(1, xb.size))
-                for at in range(0, len(ia), step):
-                    p, q = np.nonzero(most[at : at + step] >= 0)
-                    if len(p) * 4 > xb.shape[0] * min(step, len(ia) - at):
-                        near = np.abs(xa[at : at + step, None] - xb[None]).sum(axis=2, dtype=np.int32)[p, q]
-                    else:
-                        near = np.abs(xa[at + p] - xb[q]).sum(axis=1, dtype=np.int32)
-                    ok = near <= most[at + p, q]
-                    found.append((ia[at + p[ok]], ib[q[ok]]))
+                for at in range(0, len(ia), 32):
+                    p, q = np.nonzero(np.abs(sa[at : at + 32, None] - sb[None]).sum(axis=2, dtype=np.int32) <= most[at : at + 32])
+                    p += at
+                    ok = np.abs(fa[p] - fb[q]).sum(axis=1, dtype=np.int32) <= most[p, q]
+                    found.append((ia[p[ok]], ib[q[ok]]))
             a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
             once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
@@ -306,7 +297,7 @@ class Groups:
     def _settle(self, unsettled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
         """The components after all pairs of a bucket have been looked at that have an end outside its largest one."""
         save = self.scratch.save
-        dealt = save(unsettled.repartitionByRange("sig", F.desc("minor"), "n", "i").sortWithinPartitions("sig", F.desc("minor"), "n", "i").mapInArrow(_tiles(self.percent), _TILES_SQL), "tiles")
+        dealt = save(unsettled.repartitionByRange("sig", F.desc("minor"), "n", "i").sortWithinPartitions("sig", F.desc("minor"), "n", "i").mapInArrow(_tiles, _TILES_SQL), "tiles")
         cols = [c for c in dealt.columns if c != "sig"]
         a, b = (dealt.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
         before: Column = (F.col("minor_a") & ~F.col("minor_b")) | ((F.col("minor_a") == F.col("minor_b")) & (F.struct("lo_a", "hi_a", "ids_a") <= F.struct("lo_b", "hi_b", "ids_b")))

@@ -31,41 +31,56 @@ UNDETERMINED = "und"
 _MULT = np.uint32(0x9E3779B1)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all n-grams of the texts, and for each the number of its text. Runs of characters that are no
-    letters count as one space."""
-    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order: the slots of its n-grams, text after text, and where each text's begin (one more at the end).
+    Runs of characters that are no letters count as one space."""
     if not texts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    is_letter, lower = _tables()
+        return []
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter, folded = _tables()
+    starts = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.array([len(t) for t in texts]) + 1, out=starts[1:])
+    starts[-1] = len(code)  # no line end after the last text; it ends each other, and is no part of it
     letters = is_letter[code]
-    sizes = np.array([len(t) for t in texts]) + 1
-    owner = np.repeat(np.arange(len(texts)), sizes)[: len(code)]
     keep = letters.copy()
     keep[1:] |= letters[:-1]  # the first of a run of others stands for all
-    keep[np.flatnonzero(np.diff(owner)) + 1] |= letters[np.flatnonzero(np.diff(owner)) + 1]
-    code, owner = np.where(letters, lower[code], np.uint32(32))[keep], owner[keep]
-    slots, owners = [], []
-    h = np.zeros(len(code), np.uint32)
+    keep[starts[1:-1]] |= letters[starts[1:-1]]
+    kept = np.zeros(len(code) + 1, np.int32)
+    np.cumsum(keep, out=kept[1:], dtype=np.int32)
+    starts = kept[starts].astype(np.int64)
+    h = folded[code[keep]]
+    out, step = [], h * _MULT
+    h = np.zeros(len(step), np.uint32)
     for n in range(1, max(ORDERS) + 1):
-        if n > len(code):
-            break
-        h = (h[: len(code) - n + 1] * np.uint32(0x01000193)) ^ code[n - 1 :] * _MULT
+        h = (h[: max(0, len(step) - n + 1)] * np.uint32(0x01000193)) ^ step[n - 1 :]
         if n in ORDERS:
-            inside = owner[: len(h)] == owner[n - 1 :]
             x = h * _MULT
-            slots.append(((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.int64)[inside] % SLOTS)
-            owners.append(owner[: len(h)][inside])
-    if not slots:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(slots), np.concatenate(owners)
+            slot = ((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(16)).astype(np.uint16)
+            if n > 1:  # those that reach into the next text go
+                inside = np.ones(len(slot), bool)
+                for back in range(1, n):
+                    at = starts[1:] - back
+                    inside[at[(at >= starts[:-1]) & (at < len(slot))]] = False
+                slot = slot[inside]
+            sizes = np.maximum(0, np.diff(starts) - n + 1)
+            out.append((slot, np.concatenate([[0], np.cumsum(sizes)])))
+    return out
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots of a text's n-grams, and how often each occurs."""
+    n = np.zeros(SLOTS, np.int64)
+    for slot, _ in grams([text]):
+        n += np.bincount(slot, minlength=SLOTS)
+    used = np.flatnonzero(n)
+    return used, n[used]
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: whether it is a letter, and its lower case where that is one character."""
+    """For each code point: whether it is a letter, and its lower case where that is one character; 32 for others."""
     chars = [chr(c) for c in range(0x110000)]
-    return np.array([c.isalpha() for c in chars]), np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars], np.uint32)
+    return np.array([c.isalpha() for c in chars]), np.array([32 if not c.isalpha() else ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars], np.uint32)
 
 
 def has_letter(texts: list[str]) -> np.ndarray:
@@ -80,9 +95,13 @@ class Model:
     temperature: float
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        slot, owner = grams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        sums = np.stack([np.bincount(owner, self.weights[slot, k], len(texts)) for k in range(len(self.langs))], axis=1) if len(slot) else np.zeros((len(texts), len(self.langs)))
+        sums, n, columns = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), np.ascontiguousarray(self.weights.T)
+        for slot, starts in grams(texts):
+            some = np.flatnonzero(np.diff(starts))
+            if len(some):
+                for k, column in enumerate(columns):
+                    sums[some, k] += np.add.reduceat(column[slot], starts[some])
+            n += np.diff(starts)
         return sums / np.maximum(n, 1)[:, None] + self.bias
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -124,6 +143,14 @@ def ftrl(slots: list[np.ndarray], tf: list[np.ndarray], y: np.ndarray, k: int, a
     return w[:SLOTS], w[SLOTS]
 
 
+def occurring(texts: list[str]) -> np.ndarray:
+    """In how many of the texts each slot occurs."""
+    seen = np.zeros((len(texts), SLOTS), bool)
+    for slot, starts in grams(texts):
+        seen.ravel()[np.repeat(np.arange(len(texts), dtype=np.int64) * SLOTS, np.diff(starts)) + slot] = True
+    return np.add.reduce(seen, axis=0, dtype=np.uint8).astype(np.int64)
+
+
 def frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all training texts (column t) each slot occurs, and the number of texts."""
 
@@ -131,8 +158,8 @@ def frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(SLOTS, np.int64), 0
         for part in slices(batches, "t", 1 << 20):
             texts = [x.decode() for x in as_bytes(part, "t")]
-            slot, owner = grams(texts)
-            total += np.bincount(np.unique(owner * SLOTS + slot) % SLOTS, minlength=SLOTS)
+            for at in range(0, len(texts), 64):
+                total += occurring(texts[at : at + 64])
             n += len(texts)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, SLOTS, 1024)), pa.array([*total.reshape(-1, 1024).tolist()], pa.list_(pa.int64())), pa.array([n] * (SLOTS // 1024), pa.int64())], names=["b", "df", "n"])
@@ -168,7 +195,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
 
     def count(batches):
         for part in slices(batches, "t", 1 << 20):
-            found = [np.unique(grams([x.decode()])[0], return_counts=True) for x in as_bytes(part, "t")]
+            found = [counts(x.decode()) for x in as_bytes(part, "t")]
             yield pa.RecordBatch.from_arrays([values(part, "y"), values(part, "r"), pa.array([u.astype("<i4").tobytes() for u, _ in found], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], names=["y", "r", "u", "c"])
 
     taken = sorted(sample.mapInArrow(count, "y string, r int, u binary, c binary").collect(), key=lambda r: (r.y, r.r))  # the bounded sample

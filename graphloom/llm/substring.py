@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, as_bytes, free, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
+from .common import NULL_ID, Scratch, as_bytes, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
 
 #: Columns beside those of the documents, which may have any other name.
 _I, _V, _AT, _COPY, _ROW, _FIRST = (f"__graphloom_{x}" for x in ("id", "version", "at", "copy", "row", "first"))
@@ -179,7 +179,6 @@ def _level(length: int, window: int):
 def _candidates(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """ranges of windows, by document, whose anchor occurs elsewhere too."""
     again = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    free()
     return rows.join(again, "h", "left_semi").groupBy("i", "v").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
@@ -217,21 +216,17 @@ class Repeats:
         ranges = _candidates(self.scratch, seen.where("p >= 0")).join(self.later, ["i", "v"], "left_anti")
         segments = save(self.texts.join(ranges, ["i", "v"]).mapInArrow(_cut_texts(window), "i long, v binary, start int, w binary"), "segments")
         self.scratch.drop(seen)
-        free()
         for length in steps[1:-1]:
             rows = save(segments.mapInArrow(_level(length, window), _ROWS_SQL), "rows")
             longer = save(segments.join(_candidates(self.scratch, rows), ["i", "v"]).mapInArrow(_cut_segments(window), "i long, v binary, start int, w binary"), "segments")
             self.scratch.drop(segments, rows)
             segments = longer
-            free()
         rows = save(segments.mapInArrow(_level(window, window), _ROWS_SQL).select("h", "g", "i", "v", "p"), "rows")
         self.scratch.drop(segments)
         first = save(rows.groupBy("h", "g").agg(F.min(F.struct("i", "v", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first"), "firsts")
-        free()
         again = rows.join(first, ["h", "g"]).where(F.struct("i", "v", "p") != F.col("first"))
         self.at = save(again.groupBy("i", "v").agg(F.collect_set("p").alias("at")), "at")
         self.scratch.drop(rows)
-        free()
 
 
 def report(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from .common import row_id
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, *more: str) -> tuple[DataFrame, int]:
-    """(i, v, more...) of the distinct rows whose vector takes part, and its length.
+    """(i, v, more...) of the rows whose vector takes part, and its length.
 
     Vectors that are null or zero, hold null or non-finite components, or are not of the most common length
     (the least of equals) take no part.
@@ -20,7 +20,7 @@ def usable(rows: DataFrame, id_col: str, vec_col: str, *more: str) -> tuple[Data
     found = rows.select(row_id(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v"), *more).where(F.coalesce(ok, F.lit(False)))
     sizes = sorted(((-r.n, r.d) for r in found.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()))  # lengths
     d = sizes[0][1] if sizes else 0
-    return found.where(F.size("v") == d).distinct(), d
+    return found.where(F.size("v") == d), d
 
 
 def matrix(col: pa.Array, d: int) -> np.ndarray:

@@ -134,14 +134,16 @@ def frames(data: bytes):
     z = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(data):
         size = zstandard.frame_content_size(view[at : at + 18])
-        d = z.decompressobj()
-        raw = d.decompress(view[at:])
-        if not d.eof:
-            raise WarcError(f"the frame at {at} is cut off")
+        d, parts, step = z.decompressobj(), [], 4096  # unused_data copies what is left of a slice, so slices start small
+        while not d.eof:
+            if at >= len(data):
+                raise WarcError("the last frame is cut off")
+            parts.append(d.decompress(view[at : at + step]))
+            at, step = min(at + step, len(data)), step * 2
+        raw, at = b"".join(parts), at - len(d.unused_data)
         if size >= 0 and size != len(raw):
-            raise WarcError(f"the frame at {at} has {len(raw)} bytes, not {size}")
+            raise WarcError(f"the frame before {at} has {len(raw)} bytes, not {size}")
         yield raw
-        at = len(data) - len(d.unused_data)
 
 
 def _filesystem(url: str) -> tuple[pa.fs.FileSystem, str]:
