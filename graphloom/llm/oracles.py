@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .urlfilter import HOST_RULES, PATH_RULES
+from .urlfilter import HOST_RULES, PATH_RULES, PATTERN_RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -69,6 +69,7 @@ from w left join kept using (doc_id)
 def _url_filter() -> str:
     rules = ", ".join(f"('{r.text}', '{r.text.partition('/')[0]}', '/{r.text.partition('/')[2]}', '{r.verdict}')" for r in HOST_RULES)
     words = "|".join(r.text for r in PATH_RULES)
+    patterns = ", ".join("('" + r.regex.replace("\\Z", "\\z") + f"', '{r.verdict}')" for r in PATTERN_RULES)
     return f"""
 with u as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') as host,
@@ -76,10 +77,12 @@ with u as (
 rules(rule, h, p, verdict) as (values {rules}),
 hit as (
   select page_id, max_by(rule, len(rule)) as rule, max_by(verdict, len(rule)) as verdict
-  from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1)
+  from u join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by 1),
+pattern(regex, verdict) as (values {patterns}),
+found as (select page_id, min(verdict) as verdict from u join pattern on regexp_matches(host || path, regex) group by 1)
 select u.page_id, host, path, hit.rule,
-  coalesce(hit.verdict, case when regexp_matches(host || path, '/([^/]*[^a-z0-9/])?({words})([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict
-from u left join hit using (page_id)
+  coalesce(hit.verdict, case when found.verdict = 'allow' then 'allow' when found.verdict = 'block' then 'block' when regexp_matches(host || path, '/([^/]*[^a-z0-9/])?({words})([^a-z0-9]|$)') then 'block' else 'allow' end) as verdict
+from u left join hit using (page_id) left join found using (page_id)
 """
 
 

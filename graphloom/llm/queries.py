@@ -52,7 +52,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.HOST_RULES + urlfilter.PATH_RULES)
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.HOST_RULES + urlfilter.PATH_RULES + urlfilter.PATTERN_RULES)
 
 
 def queries() -> dict[str, Query]:

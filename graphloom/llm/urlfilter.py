@@ -3,13 +3,18 @@
 A rule is a regular expression with the literal tokens (runs of a-z and 0-9) that any url it matches must hold
 as whole tokens. Hosts are in lower case; in paths, A-Z ends a token, as it does for the rules' expressions. How often each rule token occurs is counted over all urls; every rule is filed under its
 rarest one. A url is cut into tokens, these fetch the candidate rules, and only those run their expression.
-Rules without a token are always candidates. Of the rules that match, the longest text wins, then the first.
+Rules without a token are always candidates. Of the rules that match, those of the lowest layer decide, of these the
+longest text, then the first.
+
+Rules are written as patterns (see parse): anchors, wildcards, separators and exceptions.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,12 +51,47 @@ def host_path(host: str, path: str, verdict: str) -> Rule:
 
 def word(token: str, verdict: str = "block") -> Rule:
     """A rule for a whole path token anywhere in the path."""
-    return Rule(token, verdict, rf"/(?:[^/]*[^a-z0-9/])?{re.escape(token)}(?![a-z0-9])", (token,), 1)
+    return Rule(token, verdict, rf"/(?:[^/]*[^a-z0-9/])?{re.escape(token)}(?![a-z0-9])", (token,), 2)
+
+
+_PART = re.compile(r"[a-z0-9]+|\*+|\^|[^a-z0-9*^]", re.S)
+_SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|\Z)"
 
 
-#: What pages are judged by. Layer 0 comes first; where none of its rules fits, those of layer 1 decide.
+def parse(line: str) -> Rule | None:
+    """The rule that a line stands for; None for empty lines and remarks, which start with !.
+
+    A pattern is found anywhere in host + path. || at its start: at the beginning of the host or of one of its
+    labels; | at its start or end: at the beginning or end of the address; * is any text, ^ a separator (no letter,
+    digit or _ . % -) or the end. Lines that start with @@ are exceptions, which allow and come before all that block.
+    Literal tokens count if something in the pattern ends them on both sides.
+    """
+    text = line.strip()
+    if not text or text.startswith("!"):
+        return None
+    exception, body = text.startswith("@@"), text.removeprefix("@@")
+    label, begin = body.startswith("||"), body.startswith("|")
+    body = body[2 * label or begin :]
+    end = body.endswith("|")
+    parts = _PART.findall(body[: len(body) - end])
+    regex = ("^(?:[^/]*\\.)?" if label else "^" if begin else "") + "".join(".*" if x[0] == "*" else _SEPARATOR if x == "^" else re.escape(x) for x in parts) + r"\Z" * end
+    left, right = ["" if begin else "*", *parts], [*parts, "" if end else "*"]
+    tokens = [x for k, x in enumerate(parts) if re.fullmatch(TOKEN, x) and not left[k].startswith("*") and not right[k + 1].startswith("*")]
+    return Rule(text, "allow" if exception else "block", regex, tuple(tokens), 1 if exception else 2)
+
+
+def read_rules(lines: Iterable[str]) -> list[Rule]:
+    return [r for r in map(parse, lines) if r is not None]
+
+
+#: What pages are judged by. Layer 0 comes first; then exceptions; where none of these fits, the rest decides.
 HOST_RULES = [host_path("com", "/en/", "block"), host_path("example.com", "/en/7", "allow"), host_path("net", "/de/", "allow"), host_path("example.net", "/de/8", "block"), host_path("org", "/es/", "block")]
-PATH_RULES = [word(t) for t in ("ads", "advert", "banner", "popup", "tracker", "tracking", "affiliate", "sponsor", "login", "signup", "cart", "checkout")]
+WORDS = ("ads", "advert", "banner", "popup", "tracker", "tracking", "affiliate", "sponsor", "login", "signup", "cart", "checkout")
+PATH_RULES = [word(t) for t in WORDS]
+_PLACES = ("js", "img", "static", "media", "content", "assets", "widget", "lib", "cdn", "api", "news", "shop")
+_FORMS = ("||{w}.{p}.*^", "/{p}/{w}_*", "/{p}/*/{w}^", "||{p}-{w}.", "/{p}.{w}.js|", "/{w}/{p}^*.gif|", "||{w}{n}.{p}.com^", "/{p}{n}/{w}^", "_{w}_{p}^", "|{w}.{p}.", "@@||{p}.example.org/{w}^", "@@/{p}/{w}/help|")
+#: Patterns made from the words, places and forms, each with a number.
+PATTERN_RULES = read_rules(form.format(w=w, p=p, n=n) for n, (form, p, w) in enumerate(product(_FORMS, _PLACES, WORDS)))
 
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -66,8 +106,9 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
     known = sorted({t for r in rules for t in r.tokens})
     host, path = (F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://([^/?#]*)([^?#]*)", k) for k in (1, 2))
     address = F.concat(F.translate(host, _UPPER, _SMALL), path)
-    tokens = F.array_intersect(F.split(address, "[^a-z0-9]+"), F.array(*map(F.lit, known)))  # a url's tokens, each once
-    often = {r.t: r.n for r in pages.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # known tokens at most
+    tokens = pages.select(F.explode(F.array_distinct(F.split(address, "[^a-z0-9]+"))).alias("t"))  # a url's tokens, each once
+    of_rules = F.broadcast(pages.sparkSession.createDataFrame([(t,) for t in known], "t string"))  # as many as the rules have
+    often = {r.t: r.n for r in tokens.join(of_rules, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
 
     index: dict[str, list[int]] = {}
     always: list[int] = []
@@ -79,8 +120,13 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
     texts = [(r.regex, r.text, r.verdict, r.layer) for r in rules]
 
     def run(batches):
-        compiled = [re.compile(x, re.S) for x, *_ in texts]
-        cut = re.compile(TOKEN)
+        compiled, cut = {}, re.compile(TOKEN)
+
+        def fits(k: int, whole: str) -> bool:
+            if k not in compiled:
+                compiled[k] = re.compile(texts[k][0], re.S)
+            return compiled[k].search(whole) is not None
+
         for part in slices(batches, "u"):
             out = []
             for url in values(part, "u").to_pylist():
@@ -88,7 +134,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
                 host, path = (m[1].translate(_LOWER), m[2]) if m else ("", "")
                 whole = host + path
                 tried = always + [k for t in set(cut.findall(whole)) if t in index for k in index[t]]
-                hits = [k for k in tried if compiled[k].search(whole)]
+                hits = [k for k in tried if fits(k, whole)]
                 best = min(hits, key=lambda k: (texts[k][3], -len(texts[k][1]), k), default=None)
                 out.append((host, path, texts[best][1] if best is not None and not texts[best][3] else None, default if best is None else texts[best][2]))
             cols = list(zip(*out))
