@@ -53,15 +53,18 @@ def largest_block_stats(graph: Graph) -> DataFrame:
 
 def count_blocks(graph: Graph, least_edges: int) -> DataFrame:
     """One row: blocks, blocks_of_size (with at least so many edges), largest, second, frac_largest (of edges)."""
-    top = block_sizes(graph).agg(F.count("*").alias("blocks"), F.count_if(F.col("m") >= least_edges).alias("blocks_of_size"), F.max("m").alias("largest"), F.sum("m").alias("all"), F.sort_array(F.collect_list("m"), asc=False).alias("ms"))
-    return top.select("blocks", "blocks_of_size", "largest", F.try_element_at("ms", F.lit(2)).alias("second"), (F.col("largest") / F.col("all")).alias("frac_largest"))
+    by_size = block_sizes(graph).groupBy("m").agg(F.count("*").alias("k"))
+    top = by_size.agg(F.sum("k").alias("blocks"), F.coalesce(F.sum(F.when(F.col("m") >= least_edges, F.col("k"))), F.lit(0)).alias("blocks_of_size"), F.max("m").alias("largest"), F.sum(F.col("m") * F.col("k")).alias("all"), F.max_by("k", "m").alias("ties"))
+    below = by_size.join(F.broadcast(top.select("largest")), F.col("m") < F.col("largest")).agg(F.max("m").alias("next"))
+    second = F.when(F.col("ties") > 1, F.col("largest")).otherwise(F.col("next"))
+    return top.join(F.broadcast(below)).select(F.coalesce("blocks", F.lit(0)).alias("blocks"), "blocks_of_size", "largest", second.alias("second"), (F.col("largest") / F.col("all")).alias("frac_largest"))
 
 
 def random_non_edges(graph: Graph, k: int, seed: int = 0) -> DataFrame:
     """seq, u, v: k pairs of different vertices without an edge, by a seeded order; fewer if there are fewer.
 
-    Pairs are drawn by hash over the vertices' numbers, in batches until enough are new; where non-edges are so
-    rare that this fails, the missing pairs of the few that are left are listed for each vertex in turn.
+    The ends of draw i are the MD5 of `seed i 1` and of `seed i 2`, the first eight digits as a number, modulo the
+    number of vertices; draws go on, four times as many each time, until enough pairs are new.
     """
     g, names = graph.relabelled()
     n, m = g.size()
@@ -72,7 +75,7 @@ def random_non_edges(graph: Graph, k: int, seed: int = 0) -> DataFrame:
     draws = max(64, int(4 * want * (n * (n - 1) / 2) / free))
     rows = []
     while len(rows) < want:
-        h = lambda x: F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(x)), F.lit(n))
+        h = lambda x: F.conv(F.substring(F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("id").cast("string"), F.lit(str(x)))), 1, 8), 16, 10).cast("long") % n
         pairs = spark.range(draws).select("id", h(1).alias("a"), h(2).alias("b")).select("id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v")
         new = pairs.groupBy("u", "v").agg(F.min("id").alias("id")).join(g.edges, ["u", "v"], "left_anti")
         rows, draws = new.orderBy("id").limit(want).collect(), draws * 4  # k rows
@@ -81,8 +84,8 @@ def random_non_edges(graph: Graph, k: int, seed: int = 0) -> DataFrame:
 
 
 def random_edges(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """u, v of k edges by a seeded order."""
-    return edges.select("u", "v").orderBy(F.xxhash64("u", "v", F.lit(seed)), "u", "v").limit(k)
+    """u, v of k edges in the order of the MD5 of `seed u v`."""
+    return edges.select("u", "v").orderBy(F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("u").cast("string"), F.col("v").cast("string"))), "u", "v").limit(k)
 
 
 def random_non_bridges(graph: Graph, k: int, seed: int = 0) -> DataFrame:

@@ -92,19 +92,46 @@ def by_blocks(graph: Graph) -> DataFrame:
     parts = {}
     size = np.bincount(d.branch_block) if len(d.branch_block) else np.empty(0, np.int64)
     for b in np.flatnonzero(size >= 3).tolist():
-        vertices, out = d.outside(b)
         k = d.block == b
-        h = kernel.Csr.of(vertices, d.u[k], d.v[k])
+        parts[b] = (*d.outside(b), d.u[k], d.v[k])
+    squares = np.zeros(len(d.g))
+    np.add.at(squares, d.branch_vertex, d.branch_size.astype(np.float64) ** 2)
+    return _by_parts(graph, d, parts, squares, np.bincount(d.branch_vertex, minlength=len(d.g)) > 0)
+
+
+def by_bridge_free_parts(graph: Graph) -> DataFrame:
+    """id, bc from one weighted pass in each bridge-free part: a vertex stands for those behind its bridges."""
+    d = Decomposition.of_graph(graph)
+    region, bridge = d.regions(), d.bridges()
+    hang = dict(zip(zip(d.branch_block.tolist(), d.branch_vertex.tolist()), d.branch_size.tolist()))
+    behind, squares = np.zeros(len(d.g)), np.zeros(len(d.g))
+    for u, v, b in zip(d.u[bridge].tolist(), d.v[bridge].tolist(), d.block[bridge].tolist()):
+        for x in (u, v):
+            behind[x] += hang[b, x]
+            squares[x] += float(hang[b, x]) ** 2
+    within = kernel.labels(d.g)
+    squares += (np.bincount(within, minlength=len(d.g))[within] - 1 - behind) ** 2  # the part itself is one more side
+    parts = {}
+    for r in np.flatnonzero(np.bincount(region, minlength=len(d.g)) >= 3).tolist():
+        vertices, k = np.flatnonzero(region == r), ~bridge & (region[d.u] == r)
+        parts[r] = (vertices, behind[vertices], d.u[k], d.v[k])
+    return _by_parts(graph, d, parts, squares, np.ones(len(d.g), bool))
+
+
+def _by_parts(graph: Graph, d: Decomposition, parts: dict, squares: np.ndarray, linked: np.ndarray) -> DataFrame:
+    """parts: vertices, what each stands for outside, and edges, by places. squares: of the sizes of what is left of
+    a vertex's component when it goes, side by side, and which vertices have such sides."""
+    weighted = {}
+    for b, (vertices, out, u, v) in parts.items():
+        h = kernel.Csr.of(vertices, u, v)
         weight = np.ones(len(h))
         weight[h.at(vertices)] += out
-        parts[b] = (h, weight)
-    held, ids = graph.edges.sparkSession.sparkContext.broadcast(parts), d.g.ids
+        weighted[b] = (h, weight)
+    held, ids = graph.edges.sparkSession.sparkContext.broadcast(weighted), d.g.ids
     n = np.bincount(kernel.labels(d.g), minlength=len(d.g))[kernel.labels(d.g)].astype(np.float64)
-    squares = np.zeros(len(d.g))
-    np.add.at(squares, d.branch_vertex, d.branch_size.astype(np.float64) ** 2)
-    cut = np.where(np.bincount(d.branch_vertex, minlength=len(d.g)) > 0, ((n - 1) ** 2 - squares) / 2, 0.0)
+    cut = np.where(linked, ((n - 1) ** 2 - squares) / 2, 0.0)
     spark = graph.vertices.sparkSession
-    jobs = spark.createDataFrame([(b, int(v)) for b, (h, _) in parts.items() for v in h.ids] or [], "b long, v long")
+    jobs = spark.createDataFrame([(b, int(v)) for b, (h, _) in weighted.items() for v in h.ids] or [], "b long, v long")
 
     def run(batches):
         total: dict[int, np.ndarray] = {}

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -150,6 +150,23 @@ def bridge_free_parts(graph: Graph) -> DataFrame:
     return _frame(graph, {"id": d.g.ids, "muc_id": d.g.ids[d.regions()]}, "id long, muc_id long")
 
 
+def parts_after_insertion(graph: Graph, parts: DataFrame, a: int, b: int) -> DataFrame:
+    """id, muc_id after the edge (a, b) has come in, from bridge_free_parts of the graph before it: the parts on a
+    shortest path from a to b become one. Nothing changes within a part, or where the edge joins two components."""
+    from .traverse import shortest_path
+
+    path = shortest_path(graph, a, b)
+    on = parts.where(F.col("id").isin(path)).select("muc_id").distinct() if path else parts.select("muc_id").limit(0)
+    least = F.min("muc_id").over(Window.partitionBy(F.lit(0)))  # the parts of one path
+    merged = on.select(F.col("muc_id").alias("old"), least.alias("new"))
+    return parts.join(F.broadcast(merged), F.col("muc_id") == F.col("old"), "left").select("id", F.coalesce("new", "muc_id").alias("muc_id"))
+
+
+def count_parts(graph: Graph, least: int = 1) -> int:
+    """How many bridge-free parts have at least so many vertices."""
+    return bridge_free_parts(graph).groupBy("muc_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).count()
+
+
 def connection_vertices(graph: Graph) -> DataFrame:
     """muc_id, id, outside_size: ends of bridges, and how many vertices are behind their bridges."""
     d = Decomposition.of_graph(graph)

@@ -21,7 +21,7 @@ from ..plans.planner import UpdatePlan, collected, strategy
 from ..store import stored
 from . import kernel
 from .betweenness import brandes, spread
-from .blocks import Decomposition
+from .blocks import Decomposition, GraphTooLarge
 from .traverse import distances
 
 DECOMPOSITIONS = ("graph", "bcc", "muc")
@@ -104,22 +104,32 @@ def _work(g: kernel.Csr, a: int, b: int, op: str, decomposition: str) -> _Work |
 
 
 def explain(graph: Graph, a: int, b: int, op: str, decomposition: str = "bcc") -> UpdatePlan:
+    if strategy(graph) != "kernel":
+        raise GraphTooLarge("an update's plan needs the edges as arrays")
     work = _work(collected(graph), a, b, op, decomposition)
     return work if isinstance(work, UpdatePlan) else work.plan
 
 
-def _dependencies_both(old: kernel.Csr, new: kernel.Csr, s: int, weight: np.ndarray) -> np.ndarray:
-    return kernel.dependencies(new, s, weight) - kernel.dependencies(old, s, weight)
+def _change(work: tuple, s: int) -> np.ndarray:
+    """What the edge adds to the dependencies of source s: one search without it, repaired to the one with it; the
+    old dependencies come off, the new ones go on."""
+    less, more, x, y, weight = work
+    d, sigma, _ = kernel.paths(less, s)
+    d2, sigma2 = repaired(more, x, y, d, sigma)
+    return kernel.accumulated(more, s, d2, sigma2, weight) - kernel.accumulated(less, s, d, sigma, weight)
 
 
 def delta(graph: Graph, a: int, b: int, op: str, decomposition: str = "bcc", max_sources: dict[int, int] | None = None, wanted: str | None = None) -> DataFrame:
     """id, delta: how betweenness changes; vertices that don't change may be left out.
 
     max_sources caps the affected sources by class of |d(s,a) - d(s,b)| (1, and 2 for more), least ids first;
-    the result is then a part of the change, for estimates of time.
+    the result is then a part of the change, for estimates of time. The relational plan works on the whole graph
+    and refuses the other decompositions and caps.
     """
     spark = graph.vertices.sparkSession
     if strategy(graph, wanted) == "relational":
+        if decomposition != "graph" or max_sources is not None:
+            raise GraphTooLarge("blocks and caps of sources need the edges as arrays")
         return _relational_delta(graph, a, b, op)
     work = _work(collected(graph), a, b, op, decomposition)
     if isinstance(work, UpdatePlan):
@@ -129,18 +139,18 @@ def delta(graph: Graph, a: int, b: int, op: str, decomposition: str = "bcc", max
         base = work.without if op == "insert" else work.with_edge
         gap = np.abs(kernel.distances(base, int(base.at(a))) - kernel.distances(base, int(base.at(b))))[sources]
         sources = np.concatenate([sources[gap == 1][: max_sources.get(1, len(sources))], sources[gap >= 2][: max_sources.get(2, len(sources))]])
-    old, new = (work.without, work.with_edge) if op == "insert" else (work.with_edge, work.without)
-    held = spark.sparkContext.broadcast((old, new, work.weight))
+    held = spark.sparkContext.broadcast((work.without, work.with_edge, int(work.with_edge.at(a)), int(work.with_edge.at(b)), work.weight))
+    sign = 0.5 if op == "insert" else -0.5
     jobs = spark.createDataFrame(pd.DataFrame({"s": sources}), "s long")
 
     def run(batches):
-        before, after, w = held.value
-        total = np.zeros(len(before))
+        work = held.value
+        total = np.zeros(len(work[0]))
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                total += w[s] * _dependencies_both(before, after, s, w) / 2
+                total += sign * work[-1][s] * _change(work, s)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(before.ids[some]), pa.array(total[some])], names=["id", "delta"])
+        yield pa.RecordBatch.from_arrays([pa.array(work[0].ids[some]), pa.array(total[some])], names=["id", "delta"])
 
     return spread(jobs).mapInArrow(run, "id long, delta double").groupBy("id").agg(F.sum("delta").alias("delta"))
 

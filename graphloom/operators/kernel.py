@@ -86,6 +86,23 @@ def dependencies(g: Csr, s: int, weight: np.ndarray) -> np.ndarray:
     return delta
 
 
+def accumulated(g: Csr, s: int, d: np.ndarray, sigma: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The same from distances and path counts that are known already."""
+    a = np.repeat(np.arange(len(g)), np.diff(g.start))
+    on = (d[a] >= 0) & (d[g.to] == d[a] + 1)
+    a, t = a[on], g.to[on]
+    order = np.argsort(d[a], kind="stable")
+    a, t = a[order], t[order]
+    ends = np.append(np.flatnonzero(np.diff(d[a])) + 1, len(a)) if len(a) else np.empty(0, np.int64)
+    delta, stop = np.zeros(len(g)), len(a)
+    for begin in [*ends[:-1].tolist()[::-1], 0]:
+        x, y = a[begin:stop], t[begin:stop]
+        np.add.at(delta, x, sigma[x] / sigma[y] * (weight[y] + delta[y]))
+        stop = begin
+    delta[s] = 0.0
+    return delta
+
+
 def labels(g: Csr) -> np.ndarray:
     """For each vertex the least place in its connected component."""
     out = np.full(len(g), -1)

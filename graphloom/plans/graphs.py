@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 
-SUPPLIERS, REGIONS = 1_000_000, 500
+SUPPLIERS, REGIONS, NATIONS = 1_000_000, 500, 25
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def walk(spark: SparkSession, sf_dir: str) -> Graph:
-    """Users whose events follow one another in the whole event log, by hour: the order is kept within an hour
-    of the log, so that no task sorts all events."""
+    """Users whose events follow one another in the whole event log. Events are put in order within each hour, so
+    that no task sorts them all; the last of an hour is followed by the first of the next hour that has any."""
     events = _table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "user_id")
     after = F.lead("user_id").over(Window.partitionBy("hour").orderBy("ts", "event_id"))
-    return Graph.of(events.select("user_id", after.alias("next")))
+    place = F.struct("ts", "event_id")
+    hours = events.groupBy("hour").agg(F.min_by("user_id", place).alias("first"), F.max_by("user_id", place).alias("last"))
+    across = hours.select("last", F.lead("first").over(Window.orderBy("hour")))  # a row an hour
+    pairs = events.select("user_id", after.alias("next")).union(across)
+    return Graph.of(pairs)
 
 
 def geo(spark: SparkSession, sf_dir: str) -> Graph:
@@ -31,14 +35,25 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.of(s.union(n).union(ring))
 
 
+def mesh(spark: SparkSession, sf_dir: str) -> Graph:
+    """geo with a ring of the nations: one large block, whose vertices have suppliers behind bridges."""
+    nations = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
+    ring = nations.select("a", ((F.col("a") + 1) % NATIONS).cast("long"))
+    g = geo(spark, sf_dir)
+    return Graph.of(g.edges.union(ring), g.vertices)
+
+
 GEO_SQL = """
 g(a, b) as (
   select s_suppkey + 1000000, cast(s_nationkey as bigint) from supplier
   union all select cast(n_nationkey as bigint), cast(n_regionkey + 500 as bigint) from nation
   union all select cast(r_regionkey + 500 as bigint), cast(case when r_regionkey = 4 then 500 else r_regionkey + 501 end as bigint) from region),
 """
+MESH_SQL = GEO_SQL.rstrip().removesuffix("),") + f"""
+  union all select cast(n_nationkey as bigint), cast((n_nationkey + 1) % {NATIONS} as bigint) from nation),
+"""
 WALK_SQL = """
-g(a, b) as (select user_id, lead(user_id) over (partition by date_trunc('hour', ts) order by ts, event_id) from events),
+g(a, b) as (select user_id, lead(user_id) over (order by ts, event_id) from events),
 """
 #: edges(u, v) and ids n(id), arcs e(s, t)
 EDGES_SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..graph import Graph
 from ..operators import betweenness, blocks, incremental, traverse
-from ..store import stored
+from ..sources import text
+from ..store import shared_dir, stored
 from ..streaming.edges import replay
-from .graphs import ARCS_SQL, EDGES_SQL, GEO_SQL, REGIONS, SUPPLIERS, WALK_SQL, geo, walk
+from .graphs import ARCS_SQL, EDGES_SQL, GEO_SQL, MESH_SQL, REGIONS, SUPPLIERS, WALK_SQL, geo, mesh, walk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +39,7 @@ def query(sql: str | None = None):
 def _with(graph: str, tail: str, change: str | None = None) -> str:
     """SQL over edges, e and n of a graph, after a change of its edges if there is one."""
     edges = EDGES_SQL if change is None else EDGES_SQL.replace("edges(u, v)", "edges0(u, v)") + f"edges(u, v) as ({change}),\n"
-    return "with recursive " + {"geo": GEO_SQL, "walk": WALK_SQL}[graph] + edges + ARCS_SQL + tail
+    return "with recursive " + {"geo": GEO_SQL, "mesh": MESH_SQL, "walk": WALK_SQL}[graph] + edges + ARCS_SQL + tail
 
 
 #: r(s, v, d, sg): hops and path counts from the sources in src(id)
@@ -348,17 +350,89 @@ def simple_stats(spark, d):
     return s.select("n", "min", "max", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), "median", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query()
+_DRAWS = """o as (select id, row_number() over (order by id) - 1 as k, count(*) over () as nn from n),
+draw as (select i, cast('0x' || substr(md5('1111 ' || i || ' 1'), 1, 8) as bigint) % (select count(*) from n) as a, cast('0x' || substr(md5('1111 ' || i || ' 2'), 1, 8) as bigint) % (select count(*) from n) as b from range(20000) t(i)),
+pick as (select x.id as u, y.id as v, min(i) as i from draw join o x on x.k = least(a, b) join o y on y.k = greatest(a, b) where a <> b group by 1, 2)
+select row_number() over (order by i) - 1 as seq, least(u, v) as u, greatest(u, v) as v from pick where not exists (select 1 from edges where edges.u = pick.u and edges.v = pick.v) order by i limit 10"""
+
+
+@query(_with("geo", _DRAWS))
 def random_non_edges(spark, d):
-    return stats.random_non_edges(geo(spark, d), 10, 1111)
+    return stats.random_non_edges(stored_graph(geo(spark, d)), 10, 1111).select(F.col("seq").cast("long").alias("seq"), "u", "v")
 
 
-@query()
+@query(_with("mesh", _BRIDGES + "k as (select u, v from edges where not exists (select 1 from bridges b where b.u = edges.u and b.v = edges.v)) select u, v from k order by md5('1111 ' || u || ' ' || v), u, v limit 7"))
 def random_non_bridges(spark, d):
-    return stats.random_non_bridges(geo(spark, d), 3, 1111)
+    return stats.random_non_bridges(stored_graph(mesh(spark, d)), 7, 1111)
 
 
 @query(_with("geo", _BC + _ROUNDED, f"({_NEW_SQL}) except select {OLD[0]}, {OLD[1]}"))
 def stream_replay(spark, d):
     events = spark.createDataFrame([(2, "-", *OLD), (1, "+", *NEW)], "seq long, op string, u long, v long")
     return _rounded(replay(stored_graph(geo(spark, d)), events).bc)
+
+
+def _on_mesh(name: str, sql: str, run: Callable[[Graph], DataFrame], change: str | None = None) -> None:
+    QUERIES[name] = lambda spark, d: run(mesh(spark, d))
+    ORACLES[name] = _with("mesh", sql, change)
+
+
+#: An edge of the ring of nations, between two regions' nations.
+_RING = (3, 4)
+_RING_SQL = f"select * from edges0 where not (u = {_RING[0]} and v = {_RING[1]})"
+_on_mesh("articulation_points_mesh", _CUT + "last as (select 1) select a as id, count(distinct l) as branches from c group by 1 having count(distinct l) > 1", blocks.articulation_points)
+_on_mesh("bridges_mesh", _BRIDGES + "last as (select 1) select u, v from bridges", blocks.bridges)
+_on_mesh("bridge_free_parts_mesh", _PARTS + "last as (select 1) select id, muc_id from muc", blocks.bridge_free_parts)
+_on_mesh("count_parts", _PARTS + "k as (select muc_id, count(*) as n from muc group by 1) select count(*) as parts, count(*) filter (n >= 3) as large from k", lambda g: g.vertices.sparkSession.createDataFrame([(blocks.count_parts(g), blocks.count_parts(g, 3))], "parts long, large long"))
+_on_mesh("parts_after_insertion", _PARTS + "last as (select 1) select id, muc_id from muc", lambda g: blocks.parts_after_insertion(g, blocks.bridge_free_parts(g), SUPPLIERS, SUPPLIERS + 1), f"select * from edges0 union select cast({SUPPLIERS} as bigint), cast({SUPPLIERS + 1} as bigint)")
+_on_mesh("bc_by_blocks_mesh", _BC + _ROUNDED, lambda g: _rounded(betweenness.by_blocks(g)))
+_on_mesh("bc_by_parts_mesh", _BC + _ROUNDED, lambda g: _rounded(betweenness.by_bridge_free_parts(g)))
+_on_mesh("vertices", "last as (select 1) select id from n union all select -7", lambda g: g.insert_vertices(_ids(g.vertices.sparkSession, -7, 500)).vertices)
+for _how in incremental.DECOMPOSITIONS:
+    _on_mesh(f"bc_insert_mesh_{_how}", _BC + _ROUNDED, lambda g, how=_how: _rounded(incremental.update(g, betweenness.brandes(g), *NEW, "insert", how)), _NEW_SQL)
+    _on_mesh(f"bc_delete_mesh_{_how}", _BC + _ROUNDED, lambda g, how=_how: _rounded(incremental.update(g, betweenness.brandes(g), *_RING, "delete", how)), _RING_SQL)
+_on_mesh("insert_and_update", _BC + _ROUNDED, lambda g: _rounded(incremental.insert_and_update(g, betweenness.brandes(g), *NEW)[1]), _NEW_SQL)
+
+
+def _state(g: Graph) -> DataFrame:
+    state = incremental.SourceState(g)
+    state.insert(*NEW)
+    return state.table.select("s", "v", F.col("dist").cast("long").alias("dist"), "sigma")
+
+
+_on_mesh("source_state", _ALL + "last as (select 1) select s, v, cast(d as bigint) as dist, sg as sigma from r", _state, _NEW_SQL)
+
+
+@query(_with("geo", "o as (select id, row_number() over (order by id) - 1 as label from n), k as (select x.label as u, y.label as v from edges join o x on x.id = u join o y on y.id = v) select u, v from k union all select (select count(*) from o), (select count(*) from k)"))
+def net_file(spark, d):
+    """The graph written as a .net file and read again, and its numbers of vertices and edges as the last row."""
+    path = f"{shared_dir(spark)}/net-{uuid.uuid4().hex}"
+    text.write_graph(stored_graph(geo(spark, d).relabelled()[0]), path)
+    g = text.read_graph(spark, path)
+    return g.edges.union(spark.createDataFrame([g.size()], "u long, v long"))
+
+
+@query(_with("geo", "last as (select 1) select u, v from edges"))
+def edge_file(spark, d):
+    path = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    geo(spark, d).edges.select(F.concat_ws(" ", "u", "v")).write.text(path)
+    return text.read_edges(spark, path)
+
+
+QUERIES["delta_file"], ORACLES["delta_file"] = lambda spark, d: _delta_file(spark, d), ORACLES["delta_insert"]
+
+
+def _delta_file(spark, d):
+    path = f"{shared_dir(spark)}/delta-{uuid.uuid4().hex}"
+    text.write_delta(QUERIES["delta_insert"](spark, d), path)
+    return spark.read.parquet(path)
+
+
+_SETTINGS = "1\n10, 20, 1111\n0, 1, 1\n1, 0, 1, 0\n/data/a.net /data/b.net"
+
+
+@query("select * from (values ('a.net', true, 10, 20, 1111, false, true, true, true, false, true, false), ('b.net', true, 10, 20, 1111, false, true, true, true, false, true, false)) t(name, deletion, num_edges, num_threads, rand_seed, external_edges, update_whole, update_blocks, run_full_fast, run_full, run_parts, update_parts)")
+def settings(spark, d):
+    c = text.parse_config(_SETTINGS)
+    rows = [(text.graph_name(p), c.deletion, c.num_edges, c.num_threads, c.rand_seed, c.external_edges, c.update_whole, c.update_blocks, c.run_full_fast, c.run_full, c.run_parts, c.update_parts) for p in c.paths]
+    return spark.createDataFrame(rows, "name string, deletion boolean, num_edges int, num_threads int, rand_seed int, external_edges boolean, update_whole boolean, update_blocks boolean, run_full_fast boolean, run_full boolean, run_parts boolean, update_parts boolean")
