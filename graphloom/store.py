@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,23 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def without_shuffles(spark: SparkSession):
-    """What is run inside leaves no shuffle files behind, as its result is stored."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def stored_result(spark: SparkSession):
+    """For a query whose result is stored: it leaves no shuffle files behind, and Python workers get its rows in
+    batches of some megabytes, however long the rows are."""
+    now = {_CLEANUP: "true", _BATCH: "8m"}
+    before = {k: spark.conf.get(k, None) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df as a written table: its lineage is cut, and it survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
-    with without_shuffles(spark):
+    with stored_result(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
