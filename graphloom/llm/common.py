@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import shared_dir, without_shuffles
+from ..store import shared_dir, stored_result
 
 #: Stands for a null id inside the operators, so that ids can be joined and compared.
 NULL_ID = -(2**63)
@@ -35,7 +36,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        with without_shuffles(self.spark):
+        with stored_result(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._graphloom_path = path
@@ -76,7 +77,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        sizes = np.diff(np.frombuffer(col.cast(pa.large_binary()).buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]) if len(col) else []
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

@@ -39,8 +39,10 @@ _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 SECOND, COVERED = 3, 2
 #: Low bits of a signature that hold its band.
 BAND_BITS = 12
-#: Cells of the histograms that all pairs of a tile are compared by, before those that are left are by all cells.
-COARSE = 32
+#: Fewest and most cells of a histogram. All pairs of a tile are compared by the fewest, what is left by all cells.
+CELLS = (32, 512)
+#: Members of a bucket whose coarse histograms are looked at first; those of larger ones are as fine as their sets.
+SMALL = 16
 #: Members of a bucket that are compared with as many others at once.
 TILE = 256
 
@@ -61,14 +63,10 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def width(n: int) -> int:
-    """Cells of the histogram of a set of size n: a power of two, n at least, so that few differences cancel out."""
-    return 1 << max(COARSE.bit_length() - 1, min(12, (max(1, n) - 1).bit_length()))
-
-
-def histogram(s: np.ndarray) -> np.ndarray:
-    w = width(len(s))
-    return np.minimum(np.bincount((s >> np.uint64(64 - w.bit_length() + 1)).astype(np.int64), minlength=w), 255).astype(np.uint8)
+def histogram(s: np.ndarray, share: int = 1) -> np.ndarray:
+    """How many hashes fall into each of 2**j equal ranges, len(s) / share of them at least, within CELLS."""
+    j = max(CELLS[0].bit_length(), min(CELLS[1].bit_length(), (max(1, len(s) // share) - 1).bit_length() + 1)) - 1
+    return np.minimum(np.bincount((s >> np.uint64(64 - j)).astype(np.int64), minlength=1 << j), 255).astype(np.uint8)
 
 
 class PartEnum:
@@ -78,7 +76,7 @@ class PartEnum:
     signature's hash.
     """
 
-    def __init__(self, percent: int, bits: int = 52, spare: float = 0.2):
+    def __init__(self, percent: int, bits: int = 52, spare: float = 0.1):
         self.percent, self.bits, self.spare, self.first = percent, bits, spare, [1]
         self.bands: list[tuple[int, int, int]] = []  # of each: differences, first-level partitions, signatures that similar sets share at least
         self.subsets = np.array([[q in c for c in itertools.combinations(range(SECOND), COVERED)] for q in range(SECOND)], np.uint64)
@@ -126,7 +124,7 @@ def _classes(k: int):
         for part in slices(batches, "t"):
             sets = shingle_sets(as_bytes(part, "t"), k)
             h = [pa.array(np.array([mix(s ^ c).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for c in (_C1, _C2)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part, "i")), pa.array([len(s) for s in sets], pa.int64()), *h, pa.array([histogram(s).tobytes() for s in sets], pa.binary())], names=["i", "n", "h", "g", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(part, "i")), pa.array([len(s) for s in sets], pa.int64()), *h, *[pa.array([histogram(s, x).tobytes() for s in sets], pa.binary()) for x in (1, 8)]], names=["i", "n", "h", "g", "m", "c"])
 
     return run
 
@@ -220,7 +218,7 @@ def _between(percent: int):
                 (ia, ib), (ca, cb), (na, nb) = ([get(x + s, "<i8") for s in ("_a", "_b")] for x in ("ids", "comps", "sizes"))
                 xa, xb = (get("cells" + x, np.uint8).reshape(n, -1) for x, n in (("_a", len(ia)), ("_b", len(ib))))
                 w = min(xa.shape[1], xb.shape[1])
-                (fa, sa), (fb, sb) = (tuple(x.reshape(len(x), v, -1).sum(axis=2, dtype=np.int16) for v in (w, COARSE)) for x in (xa, xb))
+                (fa, sa), (fb, sb) = (tuple(x.reshape(len(x), v, -1).sum(axis=2, dtype=np.int16) for v in (w, CELLS[0])) for x in (xa, xb))
                 most = np.where(ca[:, None] != cb[None], differences(na[:, None], nb[None], percent), -1)
                 for at in range(0, len(ia), 32):
                     p, q = np.nonzero(np.abs(sa[at : at + 32, None] - sb[None]).sum(axis=2, dtype=np.int32) <= most[at : at + 32])
@@ -241,7 +239,7 @@ class Groups:
         self.k, self.percent, self.scratch = k, percent, Scratch(docs.sparkSession, "jaccard")
         save = self.scratch.save
         self.texts = docs.select(row_id(id_col).alias("i"), F.col(text_col).alias("t"))
-        self.seen = save(self.texts.mapInArrow(_classes(k), "i long, n long, h long, g long, m binary"), "seen")
+        self.seen = save(self.texts.mapInArrow(_classes(k), "i long, n long, h long, g long, m binary, c binary"), "seen")
         slim = self.seen.select("i", "n", "h", "g").where("n > 0")
         heads = save(slim.groupBy("n", "h", "g").agg(F.min("i").alias("head")), "heads")
         copies = save(slim.join(heads, ["n", "h", "g"]).where("i <> head").select("i", "head").distinct(), "copies")
@@ -257,23 +255,26 @@ class Groups:
         """sig, a, i: the buckets with several members, each set of members once; a is the least of them."""
         save = self.scratch.save
         size = self.seen.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-        bits = min(64 - BAND_BITS, 10 + int(size["all"] or 0).bit_length())  # a thousand hashes for each signature
+        bits = min(64 - BAND_BITS, 6 + int(size["all"] or 0).bit_length())  # dozens of hashes for each signature
         sign = PartEnum(self.percent)
         sign.grow(int(size["most"] or 0))
         signed = self.texts.mapInArrow(_sign(self.k, self.percent, bits), "sig long, i long")
         shared = save(signed.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "shared")
-        held = signed.join(shared, "sig").join(copies, "i", "left_anti").distinct()
+        held = signed.join(shared, "sig").join(copies, "i", "left_anti")
         spare = F.element_at(F.array(*[F.lit(need - 1) for _, _, need in sign.bands]), (F.col("band") + 1).cast("int"))
         order = Window.partitionBy("i", "band").orderBy(F.desc("often"), "sig")  # no more than one document's signatures
         kept = held.withColumn("band", F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)).withColumn("r", F.row_number().over(order)).where(F.col("r") > spare)
         kept = save(kept.select("sig", "i"), "kept")
-        buckets = kept.groupBy("sig").agg(F.count("*").alias("k"), F.min("i").alias("a"), F.max("i").alias("z"), F.bit_xor(F.xxhash64("i")).alias("x"), F.bit_xor(F.xxhash64("i", F.lit(1))).alias("y")).where("k > 1")
+        buckets = kept.groupBy("sig").agg(F.count("*").alias("k"), F.min("i").alias("a"), F.max("i").alias("z"), *[F.sum(F.xxhash64("i", F.lit(j)).cast("decimal(20,0)")).alias(x) for j, x in enumerate("xy")]).where("a <> z")
         band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
         once = buckets.groupBy("k", "a", "z", "x", "y", band).agg(F.min("sig").alias("sig")).select("sig", "a")
         return save(kept.join(once, "sig").select("sig", "a", "i"), "members")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs that may be similar, stored, those that are."""
+        """Of distinct pairs, those that are similar: by the histograms, and what these leave by the sets."""
+        maps = self.seen.select("i", "n", "m")
+        known = pairs.join(maps.toDF("b", "y", "my"), "b").join(maps.toDF("a", "x", "mx"), "a")
+        pairs = self.scratch.save(known.select("a", "b", "x", "y", "mx", "my").mapInArrow(_plausible(self.percent), "a long, b long").distinct(), "near")
         ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
         sets = self.scratch.save(self.texts.join(broadcast_if_small(self.scratch.save(ids, "ids")), "i", "left_semi").mapInArrow(_sets(self.k), "i long, s array<long>"), "sets")
         x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
@@ -282,29 +283,31 @@ class Groups:
 
     def _resolve(self, members: DataFrame, twins: DataFrame) -> DataFrame:
         save = self.scratch.save
-        maps = self.seen.select("i", "n", "m")
         star = members.where("a <> i").select("a", F.col("i").alias("b")).distinct()
-        known = star.join(maps.toDF("b", "y", "my"), "b").join(maps.toDF("a", "x", "mx"), "a")
-        near = save(known.select("a", "b", "x", "y", "mx", "my").mapInArrow(_plausible(self.percent), "a long, b long").distinct(), "near")
-        links = self._links(near).union(twins)
+        links = self._links(star).union(twins)
         roots = save(components(self.scratch, links), "roots")
         now = save(members.join(roots.withColumnRenamed("id", "i"), "i", "left").select("sig", "i", F.coalesce("component", "i").alias("c")), "now")
         parts = now.groupBy("sig", "c").agg(F.count("*").alias("k"))
-        several = parts.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("sig", "main")
-        unsettled = now.join(several, "sig").join(maps, "i").select("sig", "i", "c", (F.col("c") != F.col("main")).alias("minor"), "n", "m")
+        several = parts.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size")).where("parts > 1").select("sig", "main", "size")
+        maps = self.seen.select("i", "n", "m", F.col("c").alias("few"))
+        cells = F.when(F.col("size") > SMALL, F.col("m")).otherwise(F.col("few")).alias("m")
+        unsettled = now.join(several, "sig").join(maps, "i").select("sig", "i", "c", (F.col("c") != F.col("main")).alias("minor"), "n", cells)
         return self._settle(unsettled, links, roots)
 
     def _settle(self, unsettled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
         """The components after all pairs of a bucket have been looked at that have an end outside its largest one."""
         save = self.scratch.save
         dealt = save(unsettled.repartitionByRange("sig", F.desc("minor"), "n", "i").sortWithinPartitions("sig", F.desc("minor"), "n", "i").mapInArrow(_tiles, _TILES_SQL), "tiles")
-        cols = [c for c in dealt.columns if c != "sig"]
-        a, b = (dealt.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
-        before: Column = (F.col("minor_a") & ~F.col("minor_b")) | ((F.col("minor_a") == F.col("minor_b")) & (F.struct("lo_a", "hi_a", "ids_a") <= F.struct("lo_b", "hi_b", "ids_b")))
+        cols, sides = ("ids", "comps", "sizes", "cells"), lambda *of: [F.col(x).alias(f"{x}_{y}") for y in of for x in ("minor", "lo", "hi", "ids", "comps", "sizes", "cells")]
+        own = dealt.where("minor").select(*sides("a", "b"))
+        large = save(dealt.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "large")
+        several = dealt.join(broadcast_if_small(large), "sig", "left_semi")
+        a, b = (several.select("sig", *sides(x)) for x in "ab")
+        before: Column = ~F.col("minor_b") | (F.struct("lo_a", "hi_a", "ids_a") < F.struct("lo_b", "hi_b", "ids_b"))
         fits = (F.col("hi_b") * 100 >= F.col("lo_a") * self.percent) & (F.col("hi_a") * 100 >= F.col("lo_b") * self.percent)
-        met = a.join(b, "sig").where(F.col("minor_a") & before & fits)
-        near = save(met.select(*[f"{c}_{s}" for c in ("ids", "comps", "sizes", "cells") for s in "ab"]).mapInArrow(_between(self.percent), "a long, b long").distinct(), "near")
-        more = self._links(near)
+        met = a.join(b, "sig").where(F.col("minor_a") & before & fits).drop("sig").select(*own.columns)
+        pairs = [x.select(*[f"{c}_{s}" for c in cols for s in "ab"]).mapInArrow(_between(self.percent), "a long, b long") for x in (own, met)]
+        more = self._links(save(pairs[0].union(pairs[1]).distinct(), "pairs"))
         if not more.limit(1).count():
             return roots
         return save(components(self.scratch, links.union(more)), "roots")

@@ -33,18 +33,17 @@ _MULT = np.uint32(0x9E3779B1)
 
 def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order: the slots of its n-grams, text after text, and where each text's begin (one more at the end).
-    Runs of characters that are no letters count as one space."""
+    Runs of characters that are no letters, and the end after a letter, count as one space; those at the beginning
+    don't count."""
     if not texts:
         return []
-    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter, folded = _tables()
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(np.array([len(t) for t in texts]) + 1, out=starts[1:])
-    starts[-1] = len(code)  # no line end after the last text; it ends each other, and is no part of it
     letters = is_letter[code]
     keep = letters.copy()
     keep[1:] |= letters[:-1]  # the first of a run of others stands for all
-    keep[starts[1:-1]] |= letters[starts[1:-1]]
     kept = np.zeros(len(code) + 1, np.int32)
     np.cumsum(keep, out=kept[1:], dtype=np.int32)
     starts = kept[starts].astype(np.int64)
