@@ -260,15 +260,18 @@ class Groups:
         sign.grow(int(size["most"] or 0))
         signed = self.texts.mapInArrow(_sign(self.k, self.percent, bits), "sig long, i long")
         shared = save(signed.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "shared")
-        held = signed.join(shared, "sig").join(copies, "i", "left_anti")
+        held = save(signed.join(shared, "sig").join(copies, "i", "left_anti"), "held")
         spare = F.element_at(F.array(*[F.lit(need - 1) for _, _, need in sign.bands]), (F.col("band") + 1).cast("int"))
         order = Window.partitionBy("i", "band").orderBy(F.desc("often"), "sig")  # no more than one document's signatures
         kept = held.withColumn("band", F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)).withColumn("r", F.row_number().over(order)).where(F.col("r") > spare)
         kept = save(kept.select("sig", "i"), "kept")
+        self.scratch.drop(shared, held)
         buckets = kept.groupBy("sig").agg(F.count("*").alias("k"), F.min("i").alias("a"), F.max("i").alias("z"), *[F.sum(F.xxhash64("i", F.lit(j)).cast("decimal(20,0)")).alias(x) for j, x in enumerate("xy")]).where("a <> z")
         band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
         once = buckets.groupBy("k", "a", "z", "x", "y", band).agg(F.min("sig").alias("sig")).select("sig", "a")
-        return save(kept.join(once, "sig").select("sig", "a", "i"), "members")
+        members = save(kept.join(once, "sig").select("sig", "a", "i"), "members")
+        self.scratch.drop(kept)
+        return members
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, those that are similar: by the histograms, and what these leave by the sets."""

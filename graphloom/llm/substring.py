@@ -176,10 +176,14 @@ def _level(length: int, window: int):
     return run
 
 
-def _candidates(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    """ranges of windows, by document, whose anchor occurs elsewhere too."""
+def _candidates(scratch: Scratch, rows: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """ranges of windows, by document, whose anchor occurs elsewhere too; not of the documents in later."""
+    rows = rows.select("h", "i", "v", "a", "b")
     again = scratch.save(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
-    return rows.join(again, "h", "left_semi").groupBy("i", "v").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    found = rows.join(again, "h", "left_semi")
+    if later is not None:
+        found = found.join(later, ["i", "v"], "left_anti")
+    return scratch.save(found.groupBy("i", "v").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "ranges")
 
 
 def _lose(window: int):
@@ -213,13 +217,15 @@ class Repeats:
         self.docs = save(seen.where("p < 0").select("i", "v", "h", "g", F.col("a").cast("long").alias("n_words"), "sha"), "docs")
         heads = self.docs.groupBy("h", "g").agg(F.min(F.struct("i", "v")).alias("head"), F.max(F.struct("i", "v")).alias("last")).where("head <> last")
         self.later = save(self.docs.join(heads, ["h", "g"]).where(F.struct("i", "v") != F.col("head")).select("i", "v").distinct(), "later")
-        ranges = _candidates(self.scratch, seen.where("p >= 0")).join(self.later, ["i", "v"], "left_anti")
-        segments = save(self.texts.join(ranges, ["i", "v"]).mapInArrow(_cut_texts(window), "i long, v binary, start int, w binary"), "segments")
+        ranges = _candidates(self.scratch, seen.where("p >= 0"), self.later)
         self.scratch.drop(seen)
+        segments = save(self.texts.join(ranges, ["i", "v"]).mapInArrow(_cut_texts(window), "i long, v binary, start int, w binary"), "segments")
         for length in steps[1:-1]:
             rows = save(segments.mapInArrow(_level(length, window), _ROWS_SQL), "rows")
-            longer = save(segments.join(_candidates(self.scratch, rows), ["i", "v"]).mapInArrow(_cut_segments(window), "i long, v binary, start int, w binary"), "segments")
-            self.scratch.drop(segments, rows)
+            ranges = _candidates(self.scratch, rows)
+            self.scratch.drop(rows)
+            longer = save(segments.join(ranges, ["i", "v"]).mapInArrow(_cut_segments(window), "i long, v binary, start int, w binary"), "segments")
+            self.scratch.drop(segments)
             segments = longer
         rows = save(segments.mapInArrow(_level(window, window), _ROWS_SQL).select("h", "g", "i", "v", "p"), "rows")
         self.scratch.drop(segments)
