@@ -39,6 +39,8 @@ _C1, _C2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 SECOND, COVERED = 3, 2
 #: Low bits of a signature that hold its band.
 BAND_BITS = 12
+#: Text that is cut into shingles at once.
+SLICE = 1 << 20
 #: Fewest and most cells of a histogram. All pairs of a tile are compared by the fewest, what is left by all cells.
 CELLS = (32, 512)
 #: Members of a bucket whose coarse histograms are looked at first; those of larger ones are as fine as their sets.
@@ -121,7 +123,7 @@ class PartEnum:
 
 def _classes(k: int):
     def run(batches):
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", SLICE):
             sets = shingle_sets(as_bytes(part, "t"), k)
             h = [pa.array(np.array([mix(s ^ c).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for c in (_C1, _C2)]
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(part, "i")), pa.array([len(s) for s in sets], pa.int64()), *h, *[pa.array([histogram(s, x).tobytes() for s in sets], pa.binary()) for x in (1, 8)]], names=["i", "n", "h", "g", "m", "c"])
@@ -132,7 +134,7 @@ def _classes(k: int):
 def _sign(k: int, percent: int, bits: int):
     def run(batches):
         sign = PartEnum(percent, bits)
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", SLICE):
             sigs = [sign(s) for s in shingle_sets(as_bytes(part, "t"), k)]
             who = np.repeat(ids_of(part, "i"), [len(x) for x in sigs])
             flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
@@ -144,7 +146,7 @@ def _sign(k: int, percent: int, bits: int):
 
 def _sets(k: int):
     def run(batches):
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", SLICE):
             sets = shingle_sets(as_bytes(part, "t"), k)
             cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
