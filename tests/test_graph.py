@@ -105,6 +105,11 @@ def test_random_updates_in_arrays(seed):
                 assert work.op in ("none", "recompute")
                 continue
             old, new = (work.without, work.with_edge) if op == "insert" else (work.with_edge, work.without)
+            held = (work.without, work.with_edge, int(work.with_edge.at(a)), int(work.with_edge.at(b)), work.weight)
+            repaired = np.zeros(n)
+            for s in work.sources:
+                repaired[old.ids] += (1 if op == "insert" else -1) * work.weight[s] * incremental._change(held, s) / 2
+            assert repaired == pytest.approx([want1[k] - want0[k] for k in range(n)], abs=1e-9)
             total = np.zeros(n)
             for s in work.sources:
                 total[old.ids] += work.weight[s] * incremental._dependencies_both(old, new, s, work.weight) / 2
