@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by largest inner product: an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every row is indexed. A
-query probes the lists whose centroids have the largest inner product with it. Within a list, scores are summed
-from the query's table of products with all codewords (asymmetric distances); the best are scored again on the
-original vectors in double precision.
-
-Lists are stored in blocks of bounded size, the queries that probe a list likewise, and pairs of blocks are
-dealt out by their ids, so neither a list that holds a third of the rows nor one that all queries probe meets
-in one task.
+query probes the lists of the largest bound: the product with the centroid, and the length of the query times
+the spread that the list's residuals are likely to reach. How many lists that takes is measured on the sample.
+Scores are summed from the query's table of products with all codewords (asymmetric distances); the best of a
+block are scored again on the original vectors in double precision.
+
+Rows are stored in blocks of bounded size in the order of their lists, queries likewise, and a pair of blocks
+meets where a query of the one probes a list of the other. Vectors are not copied for each list that is probed,
+and neither a list that holds a third of the rows nor one that all queries probe meets in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from .vectors import matrix, usable
 
 #: Rows that the centroids and codebooks are fitted on.
 SAMPLE = 20_000
-BLOCK, QUERY_BLOCK = 1024, 1024
+#: Queries out of the sample that the number of probes is measured with.
+PROBED = 256
+#: Vectors of a block, in bytes.
+BLOCK_BYTES, QUERY_BYTES = 4 << 20, 2 << 20
 PARTS, WORDS = 16, 256
 
 
@@ -50,6 +54,26 @@ class Index:
     centroids: np.ndarray  # lists x d
     words: list[np.ndarray]  # of each part: codewords x its dimensions
     cuts: list[int]
+    spread: np.ndarray  # of each list: what its residuals are likely to reach in one direction
+
+    def bounds(self, q: np.ndarray, lists: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """queries x lists: the larger, the likelier the list holds near rows."""
+        return q @ self.centroids[lists].T + np.sqrt((q * q).sum(axis=1))[:, None] * self.spread[lists]
+
+    def probes(self, sample: np.ndarray, k: int, recall: float) -> int:
+        """Lists to probe so that this share of the k nearest in the sample is in them, for queries of the sample."""
+        q = sample[:PROBED]
+        score = q @ sample.T
+        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.centroids)
+        hits = nearest(sample, self.centroids)[np.argpartition(-score, k - 1, axis=1)[:, :k]]
+        order = np.argsort(-self.bounds(q), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+        found = np.cumsum(np.bincount(np.take_along_axis(place, hits, axis=1).ravel(), minlength=order.shape[1]))
+        return int(np.searchsorted(found, recall * hits.size)) + 1
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = nearest(x, self.centroids)
@@ -66,59 +90,63 @@ class Index:
 
 def fit(sample: np.ndarray, n_rows: int) -> Index:
     d = sample.shape[1]
-    centroids = kmeans(sample, int(min(1024, max(1, n_rows**0.5 / 2))))
-    r = sample - centroids[nearest(sample, centroids)]
+    centroids = kmeans(sample, int(min(SAMPLE // 40, max(1, 2 * n_rows**0.5))))
+    near = nearest(sample, centroids)
+    r, size = sample - centroids[near], np.bincount(near, minlength=len(centroids))
+    of_all = (r * r).mean()  # as eight rows of every list, so that small ones aren't taken for dense
+    variance = (np.bincount(near, (r * r).mean(axis=1), len(centroids)) + 8 * of_all) / (size + 8)
+    spread = np.sqrt(2 * np.log(np.maximum(size, 2)) * variance)
     cuts = [round(d * k / min(PARTS, d)) for k in range(min(PARTS, d) + 1)]
-    return Index(centroids, [kmeans(r[:, a:b], WORDS) for a, b in zip(cuts, cuts[1:])], cuts)
+    return Index(centroids, [kmeans(r[:, a:b], WORDS) for a, b in zip(cuts, cuts[1:])], cuts, spread)
 
 
-def _blocks(d: int, index, size: int, coded: bool):
-    names = ["list", "block", "ids", "x", "codes"]
+def _lists(d: int, index):
+    """list, i, v, _query of every row."""
 
     def run(batches):
-        held, n, of, block = [], 0, None, TaskContext.get().partitionId() << 32
+        for b in batches:
+            x = matrix(values(b, "v"), d)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(nearest(x, index.value.centroids)), *(values(b, c) for c in ("i", "v", "_query"))], names=["list", "i", "v", "_query"])
 
-        def out():
-            nonlocal block
-            block += 1
-            ids, x = (np.concatenate([h[k] for h in held]) for k in range(2))
-            codes = index.value.code(x)[1] if coded else np.empty(0, np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([of]), pa.array([block]), *[pa.array([z.tobytes()], pa.binary()) for z in (ids, x.astype("<f8"), codes)]], names=names)
+    return run
 
-        for b in batches:
-            lists, ids, x = values(b, "list").to_numpy(), values(b, "i").to_numpy(), matrix(values(b, "v"), d)
-            at = 0
-            while at < len(lists):
-                if held and (lists[at] != of or n >= size):
-                    yield out()
-                    held, n = [], 0
-                of, end = int(lists[at]), at
-                stop = min(len(lists), at + size - n)
-                while end < stop and lists[end] == of:
-                    end += 1
-                held.append((ids[at:end], x[at:end]))
-                n, at = n + end - at, end
-        if held:
-            yield out()
+
+def _cut(batches, d: int, size: int):
+    """(block, lists, ids, vectors) of rows in the order of their lists."""
+    held, n, block = [], 0, TaskContext.get().partitionId() << 32
+    for b in batches:
+        lists, ids, x, at = values(b, "list").to_numpy(), values(b, "i").to_numpy(), matrix(values(b, "v"), d), 0
+        while at < len(lists):
+            end = min(len(lists), at + size - n)
+            held.append((lists[at:end], ids[at:end], x[at:end]))
+            n, at = n + end - at, end
+            if n == size:
+                yield block, *(np.concatenate(c) for c in zip(*held))
+                held, n, block = [], 0, block + 1
+    if held:
+        yield block, *(np.concatenate(c) for c in zip(*held))
+
+
+def _row_blocks(d: int, index, size: int):
+    def run(batches):
+        for block, lists, ids, x in _cut(batches, d, size):
+            codes = index.value.code(x)[1]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.unique(lists)]), *(pa.array([z.tobytes()], pa.binary()) for z in (lists, ids, x, codes))], names=["block", "has", "lists", "ids", "x", "codes"])
 
     return run
 
 
-def _lists(d: int, index, probes: int):
-    """list, i, v of every row; with probes for each of the lists that the query probes."""
+def _query_blocks(d: int, index, size: int, probes: int):
+    """With the least bound of the lists that each query probes, and the lists that any of them does."""
 
     def run(batches):
-        for b in batches:
-            x = matrix(values(b, "v"), d)
-            if not len(x):
-                continue
-            if probes:
-                score = x @ index.value.centroids.T
-                lists = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                take = np.repeat(np.arange(len(x)), lists.shape[1])
-            else:
-                lists, take = nearest(x, index.value.centroids)[:, None], np.arange(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int64)), values(b, "i").take(pa.array(take)), values(b, "v").take(pa.array(take))], names=["list", "i", "v"])
+        for block, _, ids, x in _cut(batches, d, size):
+            bounds = index.value.bounds(x)
+            least = np.partition(bounds, bounds.shape[1] - probes, axis=1)[:, bounds.shape[1] - probes]
+            least -= 1e-9 * (1 + np.abs(least))  # products of other shapes may differ in the last places
+            asks = np.flatnonzero((bounds >= least[:, None]).any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([asks]), *(pa.array([z.tobytes()], pa.binary()) for z in (ids, x, least))], names=["qblock", "asks", "qids", "qx", "least"])
 
     return run
 
@@ -127,38 +155,43 @@ def _search(d: int, index, k: int, rerank: int):
     names = ["q", "i", "score"]
 
     def run(batches):
-        for part in slices(batches, "qx", 1 << 20):
+        for part in slices(batches, "x", 1 << 20):
             for row in part.to_pylist():
-                ids, qids = (np.frombuffer(row[c], "<i8") for c in ("ids", "qids"))
+                lists, ids, qids = (np.frombuffer(row[c], "<i8") for c in ("lists", "ids", "qids"))
                 x, q = (np.frombuffer(row[c], "<f8").reshape(-1, d) for c in ("x", "qx"))
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                tables, out = index.value.tables(q), []
-                columns = [np.ascontiguousarray(codes[:, p]) for p in range(codes.shape[1])]
-                for n, (own, t) in enumerate(zip(qids.tolist(), tables)):
-                    score = t[0][columns[0]]
-                    for p in range(1, len(columns)):
-                        score = score + t[p][columns[p]]
-                    score[ids == own] = -np.inf
-                    if len(score) > rerank:
-                        at = np.flatnonzero(score >= np.partition(score, len(score) - rerank)[len(score) - rerank])  # with all ties
-                    else:
-                        at = np.arange(len(score))
-                    at = at[ids[at] != own]
-                    exact = (x[at] * q[n]).sum(axis=1)
-                    best = np.lexsort((ids[at], -exact))[:k]
-                    out.append((np.full(len(best), own), ids[at][best], exact[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=names)
+                columns = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T)
+                own, starts = np.unique(lists, return_index=True)
+                ends, out = [*starts[1:].tolist(), len(ids)], []
+                for m in range(0, len(q), 256):
+                    probed = index.value.bounds(q[m : m + 256], own) >= np.frombuffer(row["least"], "<f8")[m : m + 256, None]
+                    for n, (t, which) in enumerate(zip(index.value.tables(q[m : m + 256]), probed), m):
+                        if not which.any():
+                            continue
+                        runs = [np.arange(starts[j], ends[j]) for j in np.flatnonzero(which)]
+                        at = np.concatenate(runs)
+                        at = at[ids[at] != qids[n]]
+                        score = t[0][columns[0][at]]
+                        for p in range(1, len(columns)):
+                            score += t[p][columns[p][at]]
+                        if len(at) > rerank:
+                            at = at[score >= np.partition(score, len(at) - rerank)[len(at) - rerank]]  # with all ties
+                        exact = (x[at] * q[n]).sum(axis=1)
+                        best = np.lexsort((ids[at], -exact))[:k]
+                        out.append((np.full(len(best), qids[n]), ids[at][best], exact[best]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=names)
 
     return run
 
 
-def search(rows: DataFrame, queries: Column, k: int = 20, probe_share: float = 0.75, rerank: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: Column, k: int = 20, recall: float = 0.97, rerank: int = 200, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, id and score of the k nearest rows found for each row that `queries` holds for.
 
     Nearness is the inner product, in double precision on the original vectors; ties go to the smaller id; a
-    query is no candidate of itself. probe_share: of the lists that a query probes (all, if that is needed for k
-    candidates); rerank: scored again in each block of a list. Rows that take no part (see usable) are neither
-    queries nor candidates. Rows that repeat an id and vector are one. A null id is smaller than any other and comes back null.
+    query is no candidate of itself. recall: share of the k nearest rows of the sample that are to be in the lists
+    that a query probes; a query that finds fewer than k rows there is searched in all lists. rerank: scored again
+    in each pair of blocks. Rows that take no part (see usable) are neither queries nor candidates. Rows that
+    repeat an id and vector are one. A null id is smaller than any other and comes back null.
     Other columns are not looked at. An empty table gives an empty table.
     """
     spark = rows.sparkSession
@@ -175,21 +208,27 @@ def search(rows: DataFrame, queries: Column, k: int = 20, probe_share: float = 0
     if not len(sample):
         sample = np.zeros((1, d))
     own = fit(sample, n)
-    index = spark.sparkContext.broadcast(own)  # at most 1024 centroids and PARTS x WORDS codewords
-    probes = max(1, min(len(own.centroids), int(np.ceil(probe_share * len(own.centroids)))))
-    if n <= 50 * k:
-        probes = len(own.centroids)
-
-    def stored(df: DataFrame, size: int, coded: bool, name: str, probed: int) -> DataFrame:
-        listed = df.select("i", "v").mapInArrow(_lists(d, index, probed), "list long, i long, v array<double>")
-        dealt = listed.repartitionByRange("list", "i").sortWithinPartitions("list", "i")
-        return scratch.save(dealt.mapInArrow(_blocks(d, index, size, coded), "list long, block long, ids binary, x binary, codes binary"), name)
-
-    lists = stored(found, BLOCK, True, "lists", 0)
-    asked = stored(found.where("_query"), QUERY_BLOCK, False, "queries", probes)
-    pairs = scratch.save(lists.select("list", "block").join(asked.select("list", F.col("block").alias("qblock")), "list"), "pairs")
-    spread = pairs.join(lists, ["list", "block"]).join(asked.select("list", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("x").alias("qx")), ["list", "qblock"])
-    got = spread.select("ids", "x", "codes", "qids", "qx").mapInArrow(_search(d, index, k, rerank), "q long, i long, score double")
+    index = spark.sparkContext.broadcast(own)  # at most SAMPLE / 40 centroids and PARTS x WORDS codewords
+    listed = scratch.save(found.select("i", "v", "_query").mapInArrow(_lists(d, index), "list long, i long, v array<double>, _query boolean"), "listed")
+
+    def blocks(df: DataFrame, run, schema: str, name: str) -> DataFrame:
+        dealt = df.select("list", "i", "v").repartitionByRange("list", "i").sortWithinPartitions("list", "i")
+        return scratch.save(dealt.mapInArrow(run, schema), name)
+
+    stored = blocks(listed, _row_blocks(d, index, max(1, BLOCK_BYTES // (8 * d))), "block long, has array<long>, lists binary, ids binary, x binary, codes binary", "rows")
+
+    def find(asking: DataFrame, probes: int) -> DataFrame:
+        asked = blocks(asking, _query_blocks(d, index, max(1, QUERY_BYTES // (8 * d)), probes), "qblock long, asks array<long>, qids binary, qx binary, least binary", "queries")
+        has, asks = stored.select("block", F.explode("has").alias("list")), asked.select("qblock", F.explode("asks").alias("list"))
+        pairs = scratch.save(has.join(asks, "list").select("block", "qblock").distinct(), "pairs")
+        spread = pairs.join(asked.drop("asks"), "qblock").join(stored.drop("has"), "block")
+        return scratch.save(spread.drop("block", "qblock").mapInArrow(_search(d, index, k, rerank), "q long, i long, score double"), "got")
+
+    asking, probes = listed.where("_query"), min(own.probes(sample, k, recall), len(own.centroids))
+    got = find(asking, probes)
+    short = scratch.save(asking.join(got.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("q").alias("i")), "i", "left_anti"), "short")
+    if probes < len(own.centroids) and not short.isEmpty():
+        got = got.join(short.select(F.col("i").alias("q")).distinct(), "q", "left_anti").union(find(short, len(own.centroids)))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i"))
     best = got.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.select(null_again(F.col("q")).cast(kind).alias("query_id"), F.col("rank").cast("int").alias("rank"), null_again(F.col("i")).cast(kind).alias(id_col), "score")

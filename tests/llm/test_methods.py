@@ -226,3 +226,31 @@ def test_recall(spark):
         assert all(abs(at[v] - score) < 1e-12 for _, v, score in rows)
         assert sorted(rows, key=lambda z: z[0]) == sorted(rows, key=lambda z: (-z[2], z[1]))
     assert len(found) == (ids % 20 == 0).sum() and hits >= 0.9 * 20 * len(found)
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_and_reading_on_many_rows(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 48))
+    if kind == "clustered":
+        x = rng.normal(size=(60, 48))[rng.choice(60, len(x), p=[1 / 3] + [2 / 3 / 59] * 59)] * 2 + x
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    found = {}
+    for r in ann.search(frame, F.col("vec_id") % 100 == 0, 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert all(len(v) == 20 for v in found.values()) and hits >= 0.9 * 20 * len(found) and len(found) == 120
+    own = ann.fit(x, len(x))
+    assert own.probes(x, 20, 0.97) < (0.75 if kind == "even" else 0.4) * len(own.centroids)
+
+
+def test_short_lists_are_filled_up(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(2000, 8)) + 50 * np.eye(8)[0], -9 * np.eye(8)[3] + 0.01 * rng.normal(size=(5, 8))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(frame, F.col("vec_id") >= 2000, 20, recall=0.01).groupBy("query_id").count().collect()
+    assert [r["count"] for r in got] == [20] * 5
