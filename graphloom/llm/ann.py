@@ -54,6 +54,7 @@ class Index:
     centroids: np.ndarray  # lists x d
     words: list[np.ndarray]  # of each part: codewords x its dimensions
     cuts: list[int]
+    scale: np.ndarray  # of each list: of its residuals in one direction; they are quantised in this unit, so dense lists finely
     spread: np.ndarray  # of each list: what its residuals are likely to reach in one direction
 
     def bounds(self, q: np.ndarray, lists: slice | np.ndarray = slice(None)) -> np.ndarray:
@@ -77,11 +78,11 @@ class Index:
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = nearest(x, self.centroids)
-        r = x - self.centroids[lists]
+        r = (x - self.centroids[lists]) / self.scale[lists, None]
         return lists, np.stack([nearest(r[:, a:b], w) for w, a, b in zip(self.words, self.cuts, self.cuts[1:])], axis=1).astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """queries x parts x codewords: products of the queries' parts with the codewords."""
+        """queries x parts x codewords: products of the queries' parts with the codewords, in units of a list."""
         out = np.zeros((len(q), len(self.words), WORDS), np.float32)
         for p, (w, a, b) in enumerate(zip(self.words, self.cuts, self.cuts[1:])):
             out[:, p, : len(w)] = q[:, a:b] @ w.T
@@ -95,9 +96,11 @@ def fit(sample: np.ndarray, n_rows: int) -> Index:
     r, size = sample - centroids[near], np.bincount(near, minlength=len(centroids))
     of_all = (r * r).mean()  # as eight rows of every list, so that small ones aren't taken for dense
     variance = (np.bincount(near, (r * r).mean(axis=1), len(centroids)) + 8 * of_all) / (size + 8)
-    spread = np.sqrt(2 * np.log(np.maximum(size, 2)) * variance)
+    scale = np.sqrt(variance) + 1e-12
+    spread = np.sqrt(2 * np.log(np.maximum(size, 2))) * scale
+    r /= scale[near, None]
     cuts = [round(d * k / min(PARTS, d)) for k in range(min(PARTS, d) + 1)]
-    return Index(centroids, [kmeans(r[:, a:b], WORDS) for a, b in zip(cuts, cuts[1:])], cuts, spread)
+    return Index(centroids, [kmeans(r[:, a:b], WORDS) for a, b in zip(cuts, cuts[1:])], cuts, scale, spread)
 
 
 def _lists(d: int, index):
@@ -161,10 +164,12 @@ def _search(d: int, index, k: int, rerank: int):
                 x, q = (np.frombuffer(row[c], "<f8").reshape(-1, d) for c in ("x", "qx"))
                 columns = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1).T)
                 own, starts = np.unique(lists, return_index=True)
-                ends, out = [*starts[1:].tolist(), len(ids)], []
+                ends, out, scale = [*starts[1:].tolist(), len(ids)], [], index.value.scale[lists]
+                within = np.repeat(np.arange(len(own)), np.diff([*starts, len(ids)]))
                 for m in range(0, len(q), 256):
                     probed = index.value.bounds(q[m : m + 256], own) >= np.frombuffer(row["least"], "<f8")[m : m + 256, None]
-                    for n, (t, which) in enumerate(zip(index.value.tables(q[m : m + 256]), probed), m):
+                    products = q[m : m + 256] @ index.value.centroids[own].T
+                    for n, (t, which, product) in enumerate(zip(index.value.tables(q[m : m + 256]), probed, products), m):
                         if not which.any():
                             continue
                         runs = [np.arange(starts[j], ends[j]) for j in np.flatnonzero(which)]
@@ -173,6 +178,7 @@ def _search(d: int, index, k: int, rerank: int):
                         score = t[0][columns[0][at]]
                         for p in range(1, len(columns)):
                             score += t[p][columns[p][at]]
+                        score = product[within[at]] + scale[at] * score
                         if len(at) > rerank:
                             at = at[score >= np.partition(score, len(at) - rerank)[len(at) - rerank]]  # with all ties
                         exact = (x[at] * q[n]).sum(axis=1)
