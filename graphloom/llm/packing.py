@@ -101,10 +101,14 @@ def local_search(bins: dict[Bin, int], capacity: int, least_gain: float = 1e-4)
             for k in sorted(range(len(backs)), key=lambda k: -(give[hi[k] - 1] - totals[k] if hi[k] > lo[k] else 0)):
                 if not has[i] or hi[k] <= lo[k]:
                     break
-                j, stop = int(hi[k]) - 1, max(int(lo[k]), int(hi[k]) - 64)
-                while j >= stop and not (owner[j] > i and has[owner[j]] and len(backs[k]) + 1 + pair[j] <= 3):
-                    j -= 1
-                if j < stop:
+                j, end, step = -1, int(hi[k]), 64
+                while j < 0 and end > lo[k]:  # the whole range, in growing steps from its end
+                    begin = max(int(lo[k]), end - step)
+                    of = owner[begin:end]
+                    usable = np.flatnonzero((of > i) & (has[of] > 0) & (pair[begin:end] <= 2 - len(backs[k])))
+                    j = begin + int(usable[-1]) if len(usable) else -1
+                    end, step = begin, 4 * step
+                if j < 0:
                     continue
                 o, got = int(owner[j]), what[order[j]][1]
                 times = int(min(has[i], has[o]))
