@@ -14,6 +14,7 @@ and neither a list that holds a third of the rows nor one that all queries probe
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -115,18 +116,34 @@ def _lists(d: int, index):
     return run
 
 
+def _buckets(sizes: dict[int, int], n_lists: int, size: int) -> tuple[list[int], list[int]]:
+    """First bucket of each list, and how many it is split into: small lists share one of about `size` rows."""
+    first, parts, bucket, room = [], [], 0, size
+    for n in (sizes.get(k, 0) for k in range(n_lists)):
+        if n > room and room < size:
+            bucket, room = bucket + 1, size
+        first.append(bucket)
+        parts.append(max(1, -(-n // size)))
+        room -= n
+        if n > size:
+            bucket, room = bucket + parts[-1], size
+    return first, parts
+
+
 def _cut(batches, d: int, size: int):
-    """(block, lists, ids, vectors) of rows in the order of their lists."""
-    held, n, block = [], 0, TaskContext.get().partitionId() << 32
+    """(block, lists, ids, vectors) of rows that come by bucket, in the order of their lists. A bucket that is
+    larger than planned, as parts are dealt by hash, is cut."""
+    held, n, of, block = [], 0, None, TaskContext.get().partitionId() << 32
     for b in batches:
-        lists, ids, x, at = values(b, "list").to_numpy(), values(b, "i").to_numpy(), matrix(values(b, "v"), d), 0
+        buckets, lists, ids, x, at = *(values(b, c).to_numpy() for c in ("bucket", "list", "i")), matrix(values(b, "v"), d), 0
         while at < len(lists):
-            end = min(len(lists), at + size - n)
-            held.append((lists[at:end], ids[at:end], x[at:end]))
-            n, at = n + end - at, end
-            if n == size:
+            if held and (buckets[at] != of or n >= 2 * size):
                 yield block, *(np.concatenate(c) for c in zip(*held))
                 held, n, block = [], 0, block + 1
+            of = buckets[at]
+            end = min(int(np.searchsorted(buckets, of, side="right")), at + 2 * size - n)
+            held.append((lists[at:end], ids[at:end], x[at:end]))
+            n, at = n + end - at, end
     if held:
         yield block, *(np.concatenate(c) for c in zip(*held))
 
@@ -217,14 +234,16 @@ def search(rows: DataFrame, queries: Column, k: int = 20, recall: float = 0.97,
     index = spark.sparkContext.broadcast(own)  # at most SAMPLE / 40 centroids and PARTS x WORDS codewords
     listed = scratch.save(found.select("i", "v", "_query").mapInArrow(_lists(d, index), "list long, i long, v array<double>, _query boolean"), "listed")
 
-    def blocks(df: DataFrame, run, schema: str, name: str) -> DataFrame:
-        dealt = df.select("list", "i", "v").repartitionByRange("list", "i").sortWithinPartitions("list", "i")
-        return scratch.save(dealt.mapInArrow(run, schema), name)
+    def blocks(df: DataFrame, size: int, run, schema: str, name: str) -> DataFrame:
+        sizes = {int(x.list): int(x.n) for x in df.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
+        first, parts = (F.element_at(F.lit(z), F.col("list").cast("int") + 1) for z in _buckets(sizes, len(own.centroids), size))
+        dealt = df.select((first + F.pmod(F.xxhash64("i", "v"), parts)).cast("long").alias("bucket"), "list", "i", "v")
+        return scratch.save(dealt.repartition("bucket").sortWithinPartitions("bucket", "list", "i").mapInArrow(run(d, index, size), schema), name)
 
-    stored = blocks(listed, _row_blocks(d, index, max(1, BLOCK_BYTES // (8 * d))), "block long, has array<long>, lists binary, ids binary, x binary, codes binary", "rows")
+    stored = blocks(listed, max(1, BLOCK_BYTES // (8 * d)), _row_blocks, "block long, has array<long>, lists binary, ids binary, x binary, codes binary", "rows")
 
     def find(asking: DataFrame, probes: int) -> DataFrame:
-        asked = blocks(asking, _query_blocks(d, index, max(1, QUERY_BYTES // (8 * d)), probes), "qblock long, asks array<long>, qids binary, qx binary, least binary", "queries")
+        asked = blocks(asking, max(1, QUERY_BYTES // (8 * d)), partial(_query_blocks, probes=probes), "qblock long, asks array<long>, qids binary, qx binary, least binary", "queries")
         has, asks = stored.select("block", F.explode("has").alias("list")), asked.select("qblock", F.explode("asks").alias("list"))
         pairs = scratch.save(has.join(asks, "list").select("block", "qblock").distinct(), "pairs")
         spread = pairs.join(asked.drop("asks"), "qblock").join(stored.drop("has"), "block")

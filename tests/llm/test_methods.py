@@ -266,3 +266,9 @@ def test_search_looks_at_whole_ranges():
         for k, n in b:
             held[k] += n * times
     assert held == counts and sum(bins.values()) < 5960  # best fit: 6116; by the last 64 exchanges only: 6051
+
+
+def test_buckets_of_lists():
+    sizes = {0: 3, 1: 4, 2: 25, 3: 9, 5: 10, 6: 1}
+    first, parts = ann._buckets(sizes, 7, 10)
+    assert parts == [1, 1, 3, 1, 1, 1, 1] and first == [0, 0, 1, 4, 4, 5, 6]
