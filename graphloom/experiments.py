@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.stats import random_non_bridges, random_non_edges
 from .graph import Graph
 from .operators.betweenness import brandes, by_blocks
-from .operators.incremental import DECOMPOSITIONS, changed, delta, explain, update
+from .operators.incremental import DECOMPOSITIONS, changed, delta, explain, part_betweenness, update
 from .sources.text import Config, graph_name, parse_config, parse_paper_config, read_edges, read_graph
 from .store import stored
 
@@ -65,11 +65,41 @@ def compare(graph: Graph, edges: list[tuple[int, int]], op: str = "insert", sour
     return out
 
 
+def _seconds(graph: Graph, edge: tuple[int, int], method: str, k: int | None) -> float:
+    """The time of one method for one insertion; with k, estimated from so many sources (of either class)."""
+    a, b = edge
+    if method == "part":
+        plan = explain(graph, a, b, "insert", "muc")
+        s, _ = timed(part_betweenness(graph, a, b, "muc", k))
+        return s * max(1.0, plan.block_vertices / k) if k and plan.op == "insert" else s
+    plan = explain(graph, a, b, "insert", method)
+    s, _ = timed(delta(graph, a, b, "insert", method, {1: k, 2: k} if k else None))
+    done = min(plan.near, k) + min(plan.sources - plan.near, k) if k else 0
+    return s * plan.sources / done if done and plan.op == "insert" else s
+
+
 def paper_experiment(spark: SparkSession, text: str) -> dict[str, list[dict]]:
-    config = parse_paper_config(text)
-    out = {}
+    """For each graph of the settings: a full run, and the chosen methods over the same random insertions into the
+    base graph, with their speedups. Times are estimated from num_iter sources (-1: all). Where the full run's
+    estimate is below max_time, it is run whole, and so are all methods but the update without decomposition."""
+    config, out = parse_paper_config(text), {}
+    few = None if config.num_iter == -1 else config.num_iter
+    chosen = [("graph", config.update_whole), ("part", config.run_parts), ("muc", config.update_parts), ("bcc", config.update_blocks)]
     for path in config.paths:
         graph = read_graph(spark, path)
-        edges = [(r.u, r.v) for r in random_non_edges(graph, config.num_edges, config.rand_seed).collect()]
-        out[graph_name(path)] = compare(graph, edges, sources=config.num_iter)
+        graph = Graph(stored(graph.vertices), stored(graph.edges))
+        edges = [(r.u, r.v) for r in random_non_edges(graph, config.num_edges, config.rand_seed).orderBy("seq").collect()]
+        n, k, whole = graph.vertices.count(), few, 0.0
+        if few:
+            whole = timed(brandes(graph, few))[0] * n / min(n, few)
+            k = None if whole < config.max_time else few
+        if k is None:
+            whole, _ = timed(brandes(graph))
+        rows = [{"method": "brandes", "seconds": whole, "sources": k}]
+        for method, wanted in chosen:
+            if wanted and edges:
+                cap = few if method == "graph" else k
+                mean = fmean(_seconds(graph, e, method, cap) for e in edges)
+                rows.append({"method": "static_part" if method == "part" else f"update_{method}", "seconds": mean, "sources": cap, "speedup": whole / mean})
+        out[graph_name(path)] = rows
     return out

@@ -98,8 +98,9 @@ def _work(g: kernel.Csr, a: int, b: int, op: str, decomposition: str) -> _Work |
     p, q = int(h.at(a)), int(h.at(b))
     less = h.without(p, q)
     base = less if op == "insert" else h
-    far = kernel.distances(base, p) != kernel.distances(base, q)
-    plan = UpdatePlan(decomposition, op, len(h), len(h.to) // 2, int(far.sum()), int((~far).sum()))
+    gap = np.abs(kernel.distances(base, p) - kernel.distances(base, q))
+    far, near = gap > 0, gap == 1
+    plan = UpdatePlan(decomposition, op, len(h), len(h.to) // 2, int(far.sum()), int((~far).sum()), int(near.sum()))
     return _Work(h, less, weight, np.flatnonzero(far), plan)
 
 
@@ -160,6 +161,32 @@ def delta(graph: Graph, a: int, b: int, op: str, decomposition: str = "bcc", max
     return spread(jobs).mapInArrow(run, "id long, delta double").groupBy("id").agg(F.sum("delta").alias("delta"))
 
 
+def part_betweenness(graph: Graph, a: int, b: int, decomposition: str = "muc", max_sources: int | None = None, edge_in: bool = True) -> DataFrame:
+    """id, bc: what paths between the vertices of one part give its vertices, each end weighted by what hangs off it.
+    The part is the one that holds the edge (a, b) once it is in; edge_in says whether it is. With max_sources, only
+    so many sources, least ids first. What the edge adds to betweenness is the difference of the two.
+    A loop, an edge that is there already, and one that joins components have no such part: no rows."""
+    spark = graph.vertices.sparkSession
+    if strategy(graph) != "kernel":
+        raise GraphTooLarge("a part's betweenness needs the edges as arrays")
+    work = _work(collected(graph), a, b, "insert", decomposition)
+    if isinstance(work, UpdatePlan):
+        return spark.createDataFrame([], "id long, bc double")
+    h = work.with_edge if edge_in else work.without
+    held = spark.sparkContext.broadcast((h, work.weight))
+    jobs = spark.createDataFrame(pd.DataFrame({"s": np.arange(len(h))[:max_sources]}), "s long")
+
+    def run(batches):
+        h, weight = held.value
+        total = np.zeros(len(h))
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                total += weight[s] * kernel.dependencies(h, s, weight) / 2
+        yield pa.RecordBatch.from_arrays([pa.array(h.ids), pa.array(total)], names=["id", "bc"])
+
+    return spread(jobs).mapInArrow(run, "id long, bc double").groupBy("id").agg(F.sum("bc").alias("bc"))
+
+
 def changed(graph: Graph, a: int, b: int, op: str) -> Graph:
     pair = graph.vertices.sparkSession.createDataFrame([(a, b)], "u long, v long")
     return graph.insert_edges(pair) if op == "insert" else graph.remove_edges(pair)

@@ -44,6 +44,7 @@ class UpdatePlan:
     block_edges: int
     sources: int  # affected ones
     pruned: int
+    near: int = 0  # affected sources that are one step nearer to one end
 
     def explain(self) -> str:
         share = self.pruned / max(1, self.pruned + self.sources)

@@ -43,10 +43,37 @@ def stored_result(spark: SparkSession):
                 spark.conf.set(k, v)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a written table: its lineage is cut, and it survives lost executors."""
+def _file(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Hadoop has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file, written in one step."""
+    fs, p = _file(spark, path)
+    fs.create(p, True).close()
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern with wildcards."""
+    fs, p = _file(spark, pattern)
+    return [str(f.getPath()) for f in fs.globStatus(p) or []]
+
+
+def stored(df: DataFrame, at: str | None = None) -> DataFrame:
+    """df as a written table: its lineage is cut, and it survives lost executors. Without a place of its own, it is
+    deleted when the driver's JVM ends, as results that are handed out read it until then."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    path = at or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     with stored_result(spark):
-        df.write.parquet(path)
+        df.write.mode("overwrite").parquet(path)
+    if at is None:
+        fs, p = _file(spark, path)
+        fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
