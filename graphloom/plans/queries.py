@@ -394,6 +394,15 @@ for _how in incremental.DECOMPOSITIONS:
 _on_mesh("insert_and_update", _BC + _ROUNDED, lambda g: _rounded(incremental.insert_and_update(g, betweenness.brandes(g), *NEW)[1]), _NEW_SQL)
 
 
+def _by_static_part(g: Graph) -> DataFrame:
+    """Betweenness after an insertion, from the one part that it changes, taken off without and put on with the edge."""
+    before, after = (incremental.part_betweenness(g, *NEW, edge_in=x) for x in (False, True))
+    return _rounded(betweenness.brandes(g).union(before.select("id", -F.col("bc"))).union(after).groupBy("id").agg(F.sum("bc").alias("bc")))
+
+
+_on_mesh("bc_insert_mesh_static_part", _BC + _ROUNDED, _by_static_part, _NEW_SQL)
+
+
 def _state(g: Graph) -> DataFrame:
     state = incremental.SourceState(g)
     state.insert(*NEW)
