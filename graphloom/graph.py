@@ -43,6 +43,21 @@ class Graph:
         e = self.edges
         return e.select(F.col("u").alias("s"), F.col("v").alias("t")).union(e.select("v", "u"))
 
+    def twins(self, apart: Iterable[int] = (), most: int | None = None) -> DataFrame:
+        """id, rep, n of every vertex. Vertices with the same one or two neighbours are at the same distances from all
+        others, by as many paths, and 2 apart, by n; rep is the least of them, and of its own for all other vertices
+        and those in apart. With most, groups of twins are split into some of about that size."""
+        ends = self.arcs.groupBy("s").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("n <= 2")
+        if apart:
+            ends = ends.where(~F.col("s").isin(*apart))
+        kind = ["lo", "hi"]
+        if most is not None:
+            sizes = ends.groupBy(*kind).agg(F.count("*").alias("size"))
+            ends = ends.join(sizes, kind).withColumn("part", F.pmod(F.xxhash64("s"), F.ceil(F.col("size") / most)))
+            kind = [*kind, "part"]
+        same = ends.join(ends.groupBy(*kind).agg(F.min("s").alias("rep")), kind).select(F.col("s").alias("id"), "rep", "n")
+        return self.vertices.join(same, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(0)).alias("n"))
+
     def insert_edges(self, pairs: DataFrame) -> Graph:
         """Inserting an edge that is there, either way round, changes nothing."""
         return Graph.of(self.edges.union(canonical(pairs)), self.vertices)

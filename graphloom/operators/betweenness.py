@@ -23,12 +23,22 @@ def spread(sources: DataFrame) -> DataFrame:
 
 
 def naive(graph: Graph, wanted: str | None = None) -> DataFrame:
-    """id, bc by its definition: every vertex between every pair. For small graphs and as a second opinion."""
-    r = stored(sssp(graph, graph.vertices, wanted).where("dist >= 0"))
-    x, y, z = r.toDF("s", "m", "d1", "g1"), r.toDF("m", "t", "d2", "g2"), r.toDF("s", "t", "d", "g")
-    between = x.join(y, "m").where("s < t and s <> m and t <> m").join(z, ["s", "t"]).where("d1 + d2 = d")
-    sums = between.groupBy("m").agg(F.sum(F.col("g1") * F.col("g2") / F.col("g")).alias("bc"))
-    return graph.vertices.join(sums, F.col("id") == F.col("m"), "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
+    """id, bc by its definition: every vertex between every pair. For small graphs and as a second opinion.
+    Twins are counted by their number, as a vertex between them and others, or they as a pair, is the same for all."""
+    same = stored(graph.twins())
+    kinds = stored(same.groupBy("rep").agg(F.count("*").cast("double").alias("w"), F.max("n").cast("double").alias("n")))
+    r = sssp(graph, kinds.select("rep"), wanted).where("dist >= 0").join(kinds.hint("merge"), F.col("v") == F.col("rep"))
+    # rows of a vertex with itself become those with its twins, each pair from both ends
+    itself = F.col("s") == F.col("v")
+    pairs = F.when(itself, F.col("w") * (F.col("w") - 1) / 2).otherwise(F.col("w"))
+    r = stored(r.select("s", "v", F.when(itself, 2).otherwise(F.col("dist")).alias("dist"), F.when(itself, F.col("n")).otherwise(F.col("sigma")).alias("sigma"), pairs.alias("w")))
+    apart = r.where("s <> v").select("s", "v", "dist", "sigma")
+    x, y, z = apart.toDF("s", "m", "d1", "g1"), apart.toDF("m", "t", "d2", "g2"), r.where("s < v or (s = v and w > 0)").toDF("s", "t", "d", "g", "w")
+    many = kinds.select(F.col("rep").alias("s"), F.col("w").alias("ws"))
+    z = z.join(many, "s").select("s", "t", "d", "g", F.when(F.col("s") == F.col("t"), F.col("w")).otherwise(F.col("w") * F.col("ws")).alias("w"))
+    between = x.hint("merge").join(y, "m").where("s <= t").join(z.hint("merge"), ["s", "t"]).where("d1 + d2 = d")
+    sums = between.groupBy("m").agg(F.sum(F.col("w") * F.col("g1") * F.col("g2") / F.col("g")).alias("bc"))
+    return same.join(sums, F.col("rep") == F.col("m"), "left").select("id", F.coalesce("bc", F.lit(0.0)).alias("bc"))
 
 
 def first_sources(graph: Graph, k: int | None) -> DataFrame:

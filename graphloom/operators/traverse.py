@@ -19,6 +19,11 @@ from ..store import stored
 from . import kernel
 
 
+def kept(graph: Graph) -> Graph:
+    """The graph as stored tables, for plans that read it at each level."""
+    return Graph(stored(graph.vertices), stored(graph.edges))
+
+
 def _levels(graph: Graph, sources: DataFrame) -> list[DataFrame]:
     """(s, v, d, sigma) by distance."""
     arcs = graph.arcs.toDF("v", "t")

@@ -169,8 +169,7 @@ def shortest_path(spark, d):
     return spark.createDataFrame(list(enumerate(traverse.shortest_path(g, SUPPLIERS, last))), "seq int, id long")
 
 
-def stored_graph(g: Graph) -> Graph:
-    return Graph(stored(g.vertices), stored(g.edges))
+stored_graph = traverse.kept
 
 
 _RINGLESS = f"select * from edges0 where not (u >= {REGIONS} and v < {SUPPLIERS} and u < {SUPPLIERS})"
@@ -244,7 +243,7 @@ def bc_exact_geo(spark, d):
 
 @query(_with("geo", _BC + _ROUNDED))
 def bc_naive(spark, d):
-    return _rounded(betweenness.naive(geo(spark, d)))
+    return _rounded(betweenness.naive(stored_graph(geo(spark, d))))
 
 
 @query(_with("geo", _BC + _ROUNDED))
