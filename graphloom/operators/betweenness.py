@@ -14,7 +14,7 @@ from ..plans.planner import collected, shared, strategy
 from ..store import stored
 from . import kernel
 from .blocks import Decomposition
-from .traverse import _levels, sssp
+from .traverse import _levels, kept, sssp
 
 
 def spread(sources: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def first_sources(graph: Graph, k: int | None) -> DataFrame:
 def brandes(graph: Graph, max_sources: int | None = None, halve: bool | None = None, wanted: str | None = None) -> DataFrame:
     """id, bc. With max_sources, only of that many sources, the least ids, and by default not halved."""
     half = (max_sources is None) if halve is None else halve
-    sources = first_sources(graph, max_sources)
+    sources = alike(graph, graph.vertices) if max_sources is None else first_sources(graph, max_sources).withColumn("w", F.lit(1.0))
     if strategy(graph, wanted) == "kernel":
         sums = _kernel_sums(graph, sources)
     else:
@@ -57,15 +57,23 @@ def brandes(graph: Graph, max_sources: int | None = None, halve: bool | None = N
     return graph.vertices.join(sums, "id", "left").select("id", (F.coalesce("delta", F.lit(0.0)) * (0.5 if half else 1.0)).alias("bc"))
 
 
+def alike(graph: Graph, sources: DataFrame, apart: tuple = ()) -> DataFrame:
+    """id, w: one source for each kind of twins, and how many of the sources are of that kind. Twins have the same
+    dependencies on all vertices but themselves, and none on one another."""
+    same = graph.twins(apart).hint("merge")
+    return sources.distinct().join(same, "id").groupBy(F.col("rep").alias("id")).agg(F.count("*").cast("double").alias("w"))
+
+
 def _kernel_sums(graph: Graph, sources: DataFrame) -> DataFrame:
+    """id, delta: sums over sources (id, w)."""
     csr = shared(graph, collected(graph))
 
     def run(batches):
         g = csr.value
         total, ones = np.zeros(len(g)), np.ones(len(g))
         for b in batches:
-            for k in g.at(b.column(0).to_numpy()):
-                total += kernel.dependencies(g, int(k), ones)
+            for k, w in zip(g.at(b.column(0).to_numpy()), b.column(1).to_pylist()):
+                total += w * kernel.dependencies(g, int(k), ones)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(g.ids[some]), pa.array(total[some])], names=["id", "delta"])
 
@@ -73,25 +81,27 @@ def _kernel_sums(graph: Graph, sources: DataFrame) -> DataFrame:
 
 
 def _relational_sums(graph: Graph, sources: DataFrame) -> DataFrame:
-    levels = _levels(graph, sources)
+    graph, sources = kept(graph), stored(sources)
+    levels = _levels(graph, sources.select("id"))
     arcs = graph.arcs.toDF("p", "v")
     deltas, below = [], None
     for k in range(len(levels) - 1, 0, -1):
         level = levels[k]
-        known = level if below is None else level.join(below, ["s", "v"], "left")
+        known = level if below is None else level.hint("merge").join(below, ["s", "v"], "left")
         now = known.select("s", "v", "d", "sigma", F.coalesce(F.col("delta") if below is not None else F.lit(0.0), F.lit(0.0)).alias("delta"))
         now = stored(now)
-        deltas.append(now.select(F.col("v").alias("id"), "delta"))
+        deltas.append(now.where("delta <> 0").select("s", F.col("v").alias("id"), "delta"))
         up = levels[k - 1].select("s", F.col("v").alias("p"), F.col("sigma").alias("sp"))
-        below = now.join(arcs, "v").join(up, ["s", "p"]).groupBy("s", F.col("p").alias("v")).agg(F.sum(F.col("sp") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
+        below = now.hint("merge").join(arcs, "v").join(up.hint("merge"), ["s", "p"]).groupBy("s", F.col("p").alias("v")).agg(F.sum(F.col("sp") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
     if not deltas:
         return graph.vertices.select("id", F.lit(0.0).alias("delta"))
-    return reduce(DataFrame.union, deltas).groupBy("id").agg(F.sum("delta").alias("delta"))
+    weights = sources.toDF("s", "w").hint("merge")
+    return reduce(DataFrame.union, deltas).join(weights, "s").groupBy("id").agg(F.sum(F.col("delta") * F.col("w")).alias("delta"))
 
 
 def one_source(graph: Graph, source: int, wanted: str | None = None) -> DataFrame:
     """id, bc: what one source adds, not halved."""
-    only = graph.vertices.where(F.col("id") == source)
+    only = graph.vertices.where(F.col("id") == source).select("id", F.lit(1.0).alias("w"))
     sums = _kernel_sums(graph, only) if strategy(graph, wanted) == "kernel" else _relational_sums(graph, only)
     return graph.vertices.join(sums, "id", "left").select("id", F.coalesce("delta", F.lit(0.0)).alias("bc"))
 

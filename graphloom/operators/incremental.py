@@ -204,13 +204,14 @@ def _recomputed(graph: Graph, a: int, b: int, op: str) -> DataFrame:
 
 def _relational_delta(graph: Graph, a: int, b: int, op: str) -> DataFrame:
     """On DataFrames: affected sources from two searches, their dependencies before and after."""
-    from .betweenness import _relational_sums
+    from .betweenness import _relational_sums, alike
 
     spark = graph.vertices.sparkSession
     after = changed(graph, a, b, op)
     ends = spark.createDataFrame([(a,), (b,)], "s long")
-    d = distances(graph, ends, "relational")
+    d = stored(distances(graph, ends, "relational"))
     far = stored(d.where(F.col("s") == a).select("v", F.col("dist").alias("da")).join(d.where(F.col("s") == b).select("v", F.col("dist").alias("db")), "v").where("da <> db").select(F.col("v").alias("id")))
+    far = stored(alike(graph, far, (a, b)))  # twins before and after, as only a and b get other neighbours
     old, new = _relational_sums(graph, far), _relational_sums(after, far)
     both = new.select("id", (F.col("delta") / 2).alias("x")).union(old.select("id", (-F.col("delta") / 2).alias("x")))
     return both.groupBy("id").agg(F.sum("x").alias("delta"))

@@ -32,8 +32,8 @@ def _levels(graph: Graph, sources: DataFrame) -> list[DataFrame]:
     while front.limit(1).count():
         out.append(front)
         # a neighbour of a level is in it, in the one before, or new
-        known = reduce(DataFrame.union, [x.select("s", "v") for x in out[-2:]])
-        step = front.join(arcs, "v").groupBy("s", F.col("t").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        known = reduce(DataFrame.union, [x.select("s", "v") for x in out[-2:]]).hint("merge")  # small files of many rows
+        step = front.hint("merge").join(arcs, "v").groupBy("s", F.col("t").alias("v")).agg(F.sum("sigma").alias("sigma"))
         front = stored(step.join(known, ["s", "v"], "left_anti").select("s", "v", F.lit(len(out)).alias("d"), "sigma"))
     return out
 
@@ -41,6 +41,7 @@ def _levels(graph: Graph, sources: DataFrame) -> list[DataFrame]:
 def sssp(graph: Graph, sources: DataFrame, wanted: str | None = None) -> DataFrame:
     """s, v, dist, sigma (number of shortest paths) for every source and vertex; -1 and 0 where there is no path."""
     if strategy(graph, wanted) == "relational":
+        graph = kept(graph)
         levels = _levels(graph, sources)
         if not levels:
             return sources.sparkSession.createDataFrame([], "s long, v long, dist int, sigma double")

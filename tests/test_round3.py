@@ -4,7 +4,7 @@ import pytest
 from graphs import brandes
 
 from graphloom.graph import Graph
-from graphloom.operators import betweenness
+from graphloom.operators import betweenness, incremental
 
 
 def with_twins(seed):
@@ -48,3 +48,18 @@ def test_naive_counts_twins_by_their_number(spark):
     assert got(betweenness.naive(g)) == pytest.approx(brandes(e))
     star = Graph.from_list(spark, [(0, k) for k in range(1, 3001)])  # 27 billion triples of vertices
     assert got(betweenness.naive(star)) == pytest.approx(dict.fromkeys(range(1, 3001), 0.0) | {0: 3000 * 2999 / 2})
+
+
+def spokes(n):
+    """A ring of four with n vertices at the end of spokes."""
+    return [(0, 1), (1, 2), (2, 3), (0, 3)] + [(k % 4, k) for k in range(4, n)]
+
+
+def test_changes_on_dataframes_search_once_for_twins(spark):
+    e = spokes(400)
+    g = Graph.from_list(spark, e)
+    assert betweenness.alike(g, g.vertices).count() == 8 and betweenness.alike(g, g.vertices, (4, 5)).count() == 10
+    weights = got(betweenness.alike(g, g.vertices, (4, 5)), "w")
+    assert weights[4] == weights[5] == 1 and weights[8] == 98 and sum(weights.values()) == 400
+    after = [x for x in e if x != (0, 1)]
+    assert got(incremental.update(g, betweenness.brandes(g), 0, 1, "delete", wanted="relational")) == pytest.approx(brandes(after))
