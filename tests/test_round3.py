@@ -63,3 +63,11 @@ def test_changes_on_dataframes_search_once_for_twins(spark):
     assert weights[4] == weights[5] == 1 and weights[8] == 98 and sum(weights.values()) == 400
     after = [x for x in e if x != (0, 1)]
     assert got(incremental.update(g, betweenness.brandes(g), 0, 1, "delete", wanted="relational")) == pytest.approx(brandes(after))
+
+
+def test_relational_betweenness_with_twins(spark):
+    e = with_twins(2)
+    g = Graph.from_list(spark, e)
+    assert got(betweenness.brandes(g, wanted="relational")) == pytest.approx(brandes(e))
+    assert got(betweenness.brandes(g)) == pytest.approx(brandes(e))
+    assert got(betweenness.brandes(g, 9, wanted="relational")) == pytest.approx(got(betweenness.brandes(g, 9)))
