@@ -71,3 +71,10 @@ def test_relational_betweenness_with_twins(spark):
     assert got(betweenness.brandes(g, wanted="relational")) == pytest.approx(brandes(e))
     assert got(betweenness.brandes(g)) == pytest.approx(brandes(e))
     assert got(betweenness.brandes(g, 9, wanted="relational")) == pytest.approx(got(betweenness.brandes(g, 9)))
+
+
+def test_insertion_at_one_of_some_twins_on_dataframes(spark):
+    e = spokes(24)
+    g = Graph.from_list(spark, e)
+    for a, b in ((4, 2), (4, 8), (5, 4)):
+        assert got(incremental.update(g, betweenness.brandes(g), a, b, "insert", wanted="relational")) == pytest.approx(brandes([*e, (a, b)]))
