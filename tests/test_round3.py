@@ -4,7 +4,7 @@ import pytest
 from graphs import brandes
 
 from graphloom.graph import Graph
-from graphloom.operators import betweenness, incremental
+from graphloom.operators import betweenness, incremental, traverse
 
 
 def with_twins(seed):
@@ -78,3 +78,13 @@ def test_insertion_at_one_of_some_twins_on_dataframes(spark):
     g = Graph.from_list(spark, e)
     for a, b in ((4, 2), (4, 8), (5, 4)):
         assert got(incremental.update(g, betweenness.brandes(g), a, b, "insert", wanted="relational")) == pytest.approx(brandes([*e, (a, b)]))
+
+
+def test_all_pairs_search_once_for_some_twins(spark):
+    e = with_twins(3)
+    g = Graph.from_list(spark, e, 53)  # some vertices have no edges
+    for wanted in ("kernel", "relational"):
+        rows = [tuple(r) for r in traverse.all_pairs(g, wanted).collect()]
+        assert len(rows) == g.vertices.count() ** 2 and set(rows) == plain(e, [r.id for r in g.vertices.collect()])
+    same = Graph.from_list(spark, spokes(2004)).twins(most=traverse.TWINS)
+    assert 4 + 4 * 500 / traverse.TWINS <= same.select("rep").distinct().count() < 60  # 2004 searches before
