@@ -88,3 +88,27 @@ def test_all_pairs_search_once_for_some_twins(spark):
         assert len(rows) == g.vertices.count() ** 2 and set(rows) == plain(e, [r.id for r in g.vertices.collect()])
     same = Graph.from_list(spark, spokes(2004)).twins(most=traverse.TWINS)
     assert 4 + 4 * 500 / traverse.TWINS <= same.select("rep").distinct().count() < 60  # 2004 searches before
+
+
+def test_state_is_kept_for_one_of_some_twins(spark):
+    e = spokes(40) + [(50, 51)]
+    ids = [*range(40), 50, 51]
+    state = incremental.SourceState(Graph.from_list(spark, e))
+    assert state._rows.count() == 10 * 42  # 42 * 42 rows before
+    for a, b in ((4, 2), (5, 9), (13, 4), (8, 8), (0, 2)):  # one that stands for others, two twins, an edge of the ring
+        before, e = brandes(e), e + [(a, b)] * (a != b)
+        d, after = got(state.insert(a, b), "delta"), brandes(e)
+        assert {k: before[k] + d.get(k, 0) for k in after} == pytest.approx(after)
+        rows = [tuple(r) for r in state.table.collect()]
+        assert len(rows) == 42**2 and set(rows) == plain(e, ids)
+
+
+def test_updates_count_twins_by_number_and_weight(spark):
+    # 6 and 7 have the same two neighbours, but different numbers of vertices behind them; 8 and 9 the same
+    e = [(0, 1), (1, 2), (2, 3), (0, 3), *((x, k) for k in (6, 7, 8, 9) for x in (0, 1)), (6, 20), (7, 21), (21, 22), (3, 23), (3, 24)]
+    g = Graph.from_list(spark, e)
+    for how in incremental.DECOMPOSITIONS:
+        for a, b, op in ((1, 3, "insert"), (8, 2, "insert"), (1, 2, "delete"), (0, 8, "delete")):
+            after = [*e, (a, b)] if op == "insert" else [x for x in e if x != (a, b)]
+            d, old, new = got(incremental.delta(g, a, b, op, how), "delta"), brandes(e), brandes(after)
+            assert {k: old[k] + d.get(k, 0) for k in new} == pytest.approx(new)
