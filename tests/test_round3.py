@@ -156,6 +156,8 @@ def test_exact_betweenness_by_blocks(spark, monkeypatch):
     g = Graph.from_list(spark, e, 4 * 24 + 3)
     want = brandes(e, range(4 * 24 + 3))
     assert got(betweenness.exact(g)) == pytest.approx(want)
+    first = betweenness.top(betweenness.exact(g), 3).collect()
+    assert [r.id for r in first] == sorted(want, key=lambda k: (-round(want[k], 6), k))[:3]
     assert 6_000_000 <= planner.KERNEL_EDGES  # events of sf0.1 sixty times make 5.7 million edges
     monkeypatch.setattr(planner, "KERNEL_EDGES", 5)
     small = Graph.from_list(spark, [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 5)])
