@@ -144,6 +144,36 @@ def _sign(k: int, percent: int, bits: int):
     return run
 
 
+def _counted(k: int, percent: int, bits: int):
+    """sig, often: the signatures of each slice of texts, each once, so that one that very many sets share stays few rows."""
+
+    def run(batches):
+        sign = PartEnum(percent, bits)
+        for part in slices(batches, "t", SLICE):
+            sigs = [sign(s) for s in shingle_sets(as_bytes(part, "t"), k)]
+            sig, n = np.unique(np.concatenate(sigs).view(np.int64), return_counts=True)
+            for at in range(0, len(sig), 1 << 19):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 19)]), pa.array(n[at : at + (1 << 19)])], names=["sig", "often"])
+
+    return run
+
+
+def _shared(batches):
+    """Of rows (sig, often), sorted by sig, the sums of signatures that occur more than once."""
+    sig, n = np.empty(0, np.int64), np.empty(0, np.int64)  # the last one, which the next batch may go on with
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            sig, n = (np.concatenate([x, values(batch, c).to_numpy()]) for x, c in ((sig, "sig"), (n, "often")))
+        if not len(sig):
+            continue
+        first = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1])
+        sig, n = sig[first], np.add.reduceat(n, first)
+        done = len(sig) - (batch is not None)
+        some = np.flatnonzero(n[:done] > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(n[some])], names=["sig", "often"])
+        sig, n = sig[done:], n[done:]
+
+
 def _sets(k: int):
     def run(batches):
         for part in slices(batches, "t", SLICE):
@@ -261,7 +291,9 @@ class Groups:
         sign = PartEnum(self.percent)
         sign.grow(int(size["most"] or 0))
         signed = self.texts.mapInArrow(_sign(self.k, self.percent, bits), "sig long, i long")
-        shared = save(signed.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "shared")
+        # nearly all signatures are their own: hash maps of them would fill an executor's heap, sorted runs don't
+        counted = self.texts.mapInArrow(_counted(self.k, self.percent, bits), "sig long, often long")
+        shared = save(counted.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, often long"), "shared")
         held = save(signed.join(shared, "sig").join(copies, "i", "left_anti"), "held")
         spare = F.element_at(F.array(*[F.lit(need - 1) for _, _, need in sign.bands]), (F.col("band") + 1).cast("int"))
         order = Window.partitionBy("i", "band").orderBy(F.desc("often"), "sig")  # no more than one document's signatures

@@ -78,8 +78,9 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower case where that is one character; 32 for others."""
-    chars = [chr(c) for c in range(0x110000)]
-    return np.array([c.isalpha() for c in chars]), np.array([32 if not c.isalpha() else ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars], np.uint32)
+    n = 0x110000
+    low = (32 if not c.isalpha() else ord(x) if len(x := c.lower()) == 1 else ord(c) for c in map(chr, range(n)))
+    return np.fromiter(map(str.isalpha, map(chr, range(n))), bool, n), np.fromiter(low, np.uint32, n)
 
 
 def has_letter(texts: list[str]) -> np.ndarray:
