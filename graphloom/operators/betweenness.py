@@ -82,21 +82,26 @@ def _kernel_sums(graph: Graph, sources: DataFrame) -> DataFrame:
 
 def _relational_sums(graph: Graph, sources: DataFrame) -> DataFrame:
     graph, sources = kept(graph), stored(sources)
-    levels = _levels(graph, sources.select("id"))
-    arcs = graph.arcs.toDF("p", "v")
-    deltas, below = [], None
+    found = dependencies(_levels(graph, sources.select("id")), graph.arcs.toDF("p", "v"))
+    if found is None:
+        return graph.vertices.select("id", F.lit(0.0).alias("delta"))
+    weights = sources.toDF("s", "w").hint("merge")
+    return found.join(weights, "s").groupBy("id").agg(F.sum(F.col("delta") * F.col("w")).alias("delta"))
+
+
+def dependencies(levels: list[DataFrame], arcs: DataFrame, side: tuple = ()) -> DataFrame | None:
+    """s, id, delta of every source and vertex where it isn't 0, from the levels along arcs(p, v); None if there is
+    one level only. Columns in side as in advanced()."""
+    key, deltas, below = [*side, "s", "v"], [], None
     for k in range(len(levels) - 1, 0, -1):
         level = levels[k]
-        known = level if below is None else level.hint("merge").join(below, ["s", "v"], "left")
-        now = known.select("s", "v", "d", "sigma", F.coalesce(F.col("delta") if below is not None else F.lit(0.0), F.lit(0.0)).alias("delta"))
+        known = level if below is None else level.hint("merge").join(below, key, "left")
+        now = known.select(*key, "d", "sigma", F.coalesce(F.col("delta") if below is not None else F.lit(0.0), F.lit(0.0)).alias("delta"))
         now = stored(now)
-        deltas.append(now.where("delta <> 0").select("s", F.col("v").alias("id"), "delta"))
-        up = levels[k - 1].select("s", F.col("v").alias("p"), F.col("sigma").alias("sp"))
-        below = now.hint("merge").join(arcs, "v").join(up.hint("merge"), ["s", "p"]).groupBy("s", F.col("p").alias("v")).agg(F.sum(F.col("sp") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
-    if not deltas:
-        return graph.vertices.select("id", F.lit(0.0).alias("delta"))
-    weights = sources.toDF("s", "w").hint("merge")
-    return reduce(DataFrame.union, deltas).join(weights, "s").groupBy("id").agg(F.sum(F.col("delta") * F.col("w")).alias("delta"))
+        deltas.append(now.where("delta <> 0").select(*side, "s", F.col("v").alias("id"), "delta"))
+        up = levels[k - 1].select(*side, "s", F.col("v").alias("p"), F.col("sigma").alias("sp"))
+        below = now.hint("merge").join(arcs, [*side, "v"]).join(up.hint("merge"), [*side, "s", "p"]).groupBy(*side, "s", F.col("p").alias("v")).agg(F.sum(F.col("sp") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
+    return reduce(DataFrame.union, deltas) if deltas else None
 
 
 def one_source(graph: Graph, source: int, wanted: str | None = None) -> DataFrame:

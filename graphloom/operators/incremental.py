@@ -9,6 +9,7 @@ edge joins or splits components, the components concerned are computed anew.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -207,18 +208,30 @@ def _recomputed(graph: Graph, a: int, b: int, op: str) -> DataFrame:
 
 
 def _relational_delta(graph: Graph, a: int, b: int, op: str) -> DataFrame:
-    """On DataFrames: affected sources from two searches, their dependencies before and after."""
-    from .betweenness import _relational_sums, alike
+    """On DataFrames: affected sources from a search from both ends, their dependencies before and after, which one
+    search of both graphs (sides 0 and 1) gives."""
+    from .betweenness import alike, dependencies
+    from .traverse import _levels, advanced, kept
 
     spark = graph.vertices.sparkSession
     after = changed(graph, a, b, op)
-    ends = spark.createDataFrame([(a,), (b,)], "s long")
-    d = stored(distances(graph, ends, "relational"))
-    far = stored(d.where(F.col("s") == a).select("v", F.col("dist").alias("da")).join(d.where(F.col("s") == b).select("v", F.col("dist").alias("db")), "v").where("da <> db").select(F.col("v").alias("id")))
-    far = stored(alike(graph, far, (a, b)))  # twins before and after, as only a and b get other neighbours
-    old, new = _relational_sums(graph, far), _relational_sums(after, far)
-    both = new.select("id", (F.col("delta") / 2).alias("x")).union(old.select("id", (-F.col("delta") / 2).alias("x")))
-    return both.groupBy("id").agg(F.sum("x").alias("delta"))
+    before = kept(Graph(after.vertices, graph.edges))  # with new ends of an inserted edge
+    ends = spark.createDataFrame([(a, 0.0), (b, 0.0)], "id long, delta double")
+    levels = _levels(before, ends)
+    if not levels:
+        return ends.limit(0)
+    to_a, to_b = (F.max(F.when(F.col("s") == x, F.col("d"))) for x in (a, b))
+    far = reduce(DataFrame.union, levels).groupBy(F.col("v").alias("id")).agg(to_a.alias("da"), to_b.alias("db")).where("not da <=> db").select("id")
+    far = stored(alike(before, far, (a, b)))  # twins before and after, as only a and b get other neighbours
+    both = [g.select(F.lit(k).alias("side"), F.col("s").alias("v"), "t") for k, g in enumerate((before.arcs, Graph(before.vertices, stored(after.edges)).arcs))]
+    arcs = both[0].union(both[1])
+    starts = far.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), F.col("id").alias("s"))
+    found = dependencies(advanced(arcs, starts, ("side",)), arcs.toDF("side", "p", "v"), ("side",))
+    change = ends if op == "insert" else ends.limit(0)
+    if found is not None:
+        sign = F.when(F.col("side") == 1, 0.5).otherwise(-0.5)
+        change = change.union(found.join(far.toDF("s", "w").hint("merge"), "s").select("id", F.col("delta") * F.col("w") * sign))
+    return change.groupBy("id").agg(F.sum("delta").alias("delta"))
 
 
 def update(graph: Graph, bc: DataFrame, a: int, b: int, op: str, decomposition: str = "bcc", wanted: str | None = None) -> DataFrame:

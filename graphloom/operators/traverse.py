@@ -26,15 +26,22 @@ def kept(graph: Graph) -> Graph:
 
 def _levels(graph: Graph, sources: DataFrame) -> list[DataFrame]:
     """(s, v, d, sigma) by distance."""
-    arcs = graph.arcs.toDF("v", "t")
-    front = stored(sources.select(F.col(sources.columns[0]).cast("long").alias("s")).join(graph.vertices.withColumnRenamed("id", "s"), "s", "left_semi").distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
+    starts = sources.select(F.col(sources.columns[0]).cast("long").alias("s")).join(graph.vertices.withColumnRenamed("id", "s"), "s", "left_semi").distinct()
+    return advanced(graph.arcs.toDF("v", "t"), starts)
+
+
+def advanced(arcs: DataFrame, starts: DataFrame, side: tuple = ()) -> list[DataFrame]:
+    """(s, v, d, sigma) by distance along arcs(v, t) from starts(s). Columns in side tell apart graphs that are
+    searched at once; arcs, starts and what comes out have them too."""
+    key = [*side, "s", "v"]
+    front = stored(starts.select(*side, "s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     out = []
     while front.limit(1).count():
         out.append(front)
         # a neighbour of a level is in it, in the one before, or new
-        known = reduce(DataFrame.union, [x.select("s", "v") for x in out[-2:]]).hint("merge")  # small files of many rows
-        step = front.hint("merge").join(arcs, "v").groupBy("s", F.col("t").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        front = stored(step.join(known, ["s", "v"], "left_anti").select("s", "v", F.lit(len(out)).alias("d"), "sigma"))
+        known = reduce(DataFrame.union, [x.select(*key) for x in out[-2:]]).hint("merge")  # small files of many rows
+        step = front.hint("merge").join(arcs, [*side, "v"]).groupBy(*side, "s", F.col("t").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        front = stored(step.join(known, key, "left_anti").select(*key, F.lit(len(out)).alias("d"), "sigma"))
     return out
 
 
