@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, row_id, slices, values
 
@@ -215,23 +216,31 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     return model
 
 
+def judged(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """given, a struct of all columns of a row, with lang_pred and score of its whole text. Columns of docs may have
+    any names; see predict for the rest."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages numbers
+
+    def run(batches):
+        m = shared.value
+        for part in slices(batches, "text", 1 << 20):
+            lang, score = m.predict([x.decode() for x in as_bytes(part, "text")])
+            yield pa.RecordBatch.from_arrays([values(part, "given"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["given", "lang_pred", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["given"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """lang_pred and score of every whole text, beside the id and the columns in keep.
 
     lang_pred is und, with score 0, for null texts and those without a letter, or if nothing was learned. Null
-    ids stay null; repeated rows come out repeated; an empty table gives an empty table.
+    ids stay null; repeated rows come out repeated; an empty table gives an empty table. Kept columns named lang_pred
+    or score come out beside the prediction's; judged() holds them apart.
     """
     names = [id_col, *(keep or [])]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages numbers
-
-    def run(batches):
-        m = shared.value
-        for part in slices(batches, "_t", 1 << 20):
-            lang, score = m.predict([x.decode() for x in as_bytes(part, "_t")])
-            yield pa.RecordBatch.from_arrays([*[values(part, c) for c in names], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    rows = docs.select(*names, F.col(text_col).alias("_t"))
-    return rows.mapInArrow(run, rows.drop("_t").schema.simpleString()[7:-1] + ",lang_pred:string,score:double")
+    needed = docs.select(*dict.fromkeys([*(f"`{c}`" for c in names), f"`{text_col}`"]))
+    return judged(needed, model, text_col).select(*[F.col(f"given.`{c}`") for c in names], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

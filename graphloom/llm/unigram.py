@@ -131,7 +131,8 @@ class Counter(dict):
         new[1:] = end[1:] != end[:-1]
         first = np.flatnonzero(new)
         place = np.arange(len(end)) - np.repeat(first, np.diff(np.append(first, len(end))))
-        step = local[end] * 64 + np.minimum(place, 63)
+        most = int(place.max(initial=0)) + 1
+        step = local[end] * most + place
         order = np.argsort(step, kind="stable")
         step, end, begin, score = step[order], end[order], end[order] - self.sizes[piece[order]], self.scores[piece[order]]
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -144,7 +145,7 @@ class Counter(dict):
         cuts = np.flatnonzero(np.diff(step, prepend=-1)).tolist() + [len(step)]
         k = 0
         for t in range(1, int(size.max(initial=0)) + 1):
-            while k < len(cuts) - 1 and step[cuts[k]] < (t + 1) * 64:
+            while k < len(cuts) - 1 and step[cuts[k]] < (t + 1) * most:
                 s = slice(cuts[k], cuts[k + 1])
                 e, b = end[s], begin[s]
                 value = best[b] + score[s]
