@@ -20,8 +20,8 @@ LEAST_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: lang_pred is not und, and its score at least LEAST_SCORE."""
     model = langid.fit(docs.where(~langid.held_out()))
-    judged = langid.predict(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = langid.judged(docs, model)
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("given.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
