@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import shared_dir, stored_result
+from ..store import broadcast_if_small, remove, shared_dir, stored_result  # noqa: F401
 
 #: Stands for a null id inside the operators, so that ids can be joined and compared.
 NULL_ID = -(2**63)
@@ -48,18 +48,6 @@ class Scratch:
             remove(self.spark, df._graphloom_path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def broadcast_if_small(stored: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A stored table of a few numbers a row, to be sent to all executors if it has at most so many rows; beyond
-    that it is joined by a shuffle."""
-    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
-
-
 def row_id(col: str) -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 

@@ -86,4 +86,60 @@ from u left join hit using (page_id) left join found using (page_id)
 """
 
 
-ORACLES = {"op2_warc": _WARC, "op7_jaccard": _JACCARD, "op8_embdedup": _EMBDEDUP, "op9_substring": _SUBSTRING, "op10_url_filter": _url_filter()}
+def _fields(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(cast({x} as varchar)) || ':' || cast({x} as varchar), '-')" for x in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), [cast(ascii(z) as bigint) for z in string_split(cast(doc_id as varchar), '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
+_MERKLE = f"""
+with recursive d as (
+  select doc_id, coalesce('=' || lang, '') as g, {_fields('n_chars')} as leaf, case when {_CRC32} % 7 = 0 then {_fields('(n_chars + 1)')} end as other from documents),
+p as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos from d),
+node(g, lvl, pos, h) as (
+  select g, 0, pos, leaf from p
+  union all
+  select g, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over (partition by g) as k from node) where k > 1 group by g, lvl, pos // 2),
+tops as (select g, arg_max(h, lvl) as subroot, max(lvl) as m from node group by 1),
+t as (select *, row_number() over (order by g) - 1 as pos from tops),
+over_(lvl, pos, h) as (
+  select 0, pos, subroot from t
+  union all
+  select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over () as k from over_) where k > 1 group by lvl, pos // 2),
+r as (select arg_max(h, lvl) as root, max(lvl) as m from over_),
+places as (
+  select p.g, p.pos, lvl, p.pos >> lvl as spot, false as above from p join t on t.g = p.g, unnest(range(t.m)) u(lvl)
+  union all select p.g, p.pos, lvl, t.pos >> lvl, true from p join t on t.g = p.g, r, unnest(range(r.m)) u(lvl)),
+steps as (
+  select x.g, x.pos, row_number() over (partition by x.g, x.pos order by above, x.lvl) as j, spot % 2 = 1 as last, coalesce(a.h, b.h, '') as h
+  from places x left join node a on not above and a.g = x.g and a.lvl = x.lvl and a.pos = xor(spot, 1) left join over_ b on above and b.lvl = x.lvl and b.pos = xor(spot, 1)),
+fold(g, pos, j, h) as (
+  select g, pos, cast(1 as bigint), coalesce(other, leaf) from p
+  union all
+  select f.g, f.pos, f.j + 1, sha256(case when s.last then s.h || f.h else f.h || s.h end) from fold f join steps s on s.g = f.g and s.pos = f.pos and s.j = f.j),
+ends as (select g, pos, arg_max(h, j) as folded_root from fold group by 1, 2),
+proofs as (select g, pos, string_agg(h, '' order by j) as x from steps group by 1, 2)
+select doc_id, leaf, subroot, root, sha256(coalesce(x, '')) as proof_sha256, folded_root, folded_root = root as verified
+from p join t on t.g = p.g join ends e on e.g = p.g and e.pos = p.pos left join proofs q on q.g = p.g and q.pos = p.pos, r
+"""
+
+
+_NEGATIVES = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding::double[], lambda x: floor(256 * x)) as x
+  from embeddings where label is not null and embedding is not null and list_count(embedding) = len(embedding) and len(list_filter(embedding::double[], lambda z: not isfinite(z))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.x, b.x) as bigint) as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select *, row_number() over (partition by anchor_id order by score desc, id) as r from s where same),
+n as (
+  select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+  where p.r <= 5)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+ORACLES = {"op2_warc": _WARC, "op7_jaccard": _JACCARD, "op8_embdedup": _EMBDEDUP, "op9_substring": _SUBSTRING, "op10_url_filter": _url_filter(), "op11_negatives": _NEGATIVES, "op12_merkle": _MERKLE}

@@ -17,7 +17,11 @@ def usable(rows: DataFrame, id_col: str, vec_col: str, *more: str) -> tuple[Data
     (the least of equals) take no part.
     """
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    found = rows.select(row_id(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v"), *more).where(F.coalesce(ok, F.lit(False)))
+    return common_length(rows.select(row_id(id_col).alias("i"), F.col(vec_col).cast("array<double>").alias("v"), *more).where(F.coalesce(ok, F.lit(False))))
+
+
+def common_length(found: DataFrame) -> tuple[DataFrame, int]:
+    """The rows whose vector v is of the most common length (the least of equals), and that length."""
     sizes = sorted(((-r.n, r.d) for r in found.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()))  # lengths
     d = sizes[0][1] if sizes else 0
     return found.where(F.size("v") == d), d

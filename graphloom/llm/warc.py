@@ -14,13 +14,13 @@ import struct
 import uuid
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_id, slices, values
+from .files import filesystem
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: Compressed bytes after which a file is closed.
@@ -146,15 +146,6 @@ def frames(data: bytes):
         yield raw
 
 
-def _filesystem(url: str) -> tuple[pa.fs.FileSystem, str]:
-    """For file: paths, and any scheme that pyarrow knows (hdfs, s3, gs, ...)."""
-    if "://" not in url and not url.startswith("file:"):
-        return pa.fs.LocalFileSystem(), url
-    if url.startswith("file:"):
-        return pa.fs.LocalFileSystem(), re.sub("^file:/+", "/", url)
-    return pa.fs.FileSystem.from_uri(url)
-
-
 class _Writer:
     """Writes records to files of about FILE_BYTES each; the first records of each wait for its dictionary."""
 
@@ -207,7 +198,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        fs, path = _filesystem(folder)
+        fs, path = filesystem(folder)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         w = _Writer(fs, f"{path}/{name}")
         for part in slices(batches, "html"):

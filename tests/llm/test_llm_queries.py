@@ -23,7 +23,7 @@ def test_rows_equal_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert {int(k[2:].split("_")[0]) for k in names if k.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(k[2:].split("_")[0]) for k in names if k.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline_against_plain_stages(spark):
