@@ -34,26 +34,26 @@ def ideal_speedup_muc(n: Column, m: Column, muc_n: Column, muc_m: Column) -> Col
     return ((n + m) / (muc_n + muc_m)) * (n / muc_n)
 
 
-def block_sizes(graph: Graph) -> DataFrame:
+def block_sizes(graph: Graph, wanted: str | None = None) -> DataFrame:
     """block_id, n, m."""
-    e = blocks.biconnected_components(graph)
+    e = blocks.biconnected_components(graph, wanted)
     both = e.select("block_id", F.explode(F.array("u", "v")).alias("id"))
     n = both.groupBy("block_id").agg(F.countDistinct("id").alias("n"))
     return n.join(e.groupBy("block_id").agg(F.count("*").alias("m")), "block_id")
 
 
-def largest_block_stats(graph: Graph) -> DataFrame:
+def largest_block_stats(graph: Graph, wanted: str | None = None) -> DataFrame:
     """One row: nodes, edges, frac_nodes, frac_edges of the block with most vertices (the first of equals)."""
     n, m = graph.size()
-    best = block_sizes(graph).agg(F.max_by(F.struct("n", "m"), F.struct(F.col("n"), -F.col("block_id"))).alias("b"))
+    best = block_sizes(graph, wanted).agg(F.max_by(F.struct("n", "m"), F.struct(F.col("n"), -F.col("block_id"))).alias("b"))
     zero = F.lit(0).cast("long")
     nodes, edges = F.coalesce("b.n", zero), F.coalesce("b.m", zero)
     return best.select(nodes.alias("nodes"), edges.alias("edges"), (nodes / F.lit(float(max(n, 1)))).alias("frac_nodes"), (edges / F.lit(float(max(m, 1)))).alias("frac_edges"))
 
 
-def count_blocks(graph: Graph, least_edges: int) -> DataFrame:
+def count_blocks(graph: Graph, least_edges: int, wanted: str | None = None) -> DataFrame:
     """One row: blocks, blocks_of_size (with at least so many edges), largest, second, frac_largest (of edges)."""
-    by_size = block_sizes(graph).groupBy("m").agg(F.count("*").alias("k"))
+    by_size = block_sizes(graph, wanted).groupBy("m").agg(F.count("*").alias("k"))
     top = by_size.agg(F.sum("k").alias("blocks"), F.coalesce(F.sum(F.when(F.col("m") >= least_edges, F.col("k"))), F.lit(0)).alias("blocks_of_size"), F.max("m").alias("largest"), F.sum(F.col("m") * F.col("k")).alias("all"), F.max_by("k", "m").alias("ties"))
     below = by_size.join(F.broadcast(top.select("largest")), F.col("m") < F.col("largest")).agg(F.max("m").alias("next"))
     second = F.when(F.col("ties") > 1, F.col("largest")).otherwise(F.col("next"))
@@ -88,8 +88,8 @@ def random_edges(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return edges.select("u", "v").orderBy(F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col("u").cast("string"), F.col("v").cast("string"))), "u", "v").limit(k)
 
 
-def random_non_bridges(graph: Graph, k: int, seed: int = 0) -> DataFrame:
-    return random_edges(graph.edges.join(blocks.bridges(graph), ["u", "v"], "left_anti"), k, seed)
+def random_non_bridges(graph: Graph, k: int, seed: int = 0, wanted: str | None = None) -> DataFrame:
+    return random_edges(graph.edges.join(blocks.bridges(graph, wanted), ["u", "v"], "left_anti"), k, seed)
 
 
 def speedup_report(graph: Graph, edges: list[tuple[int, int]], ratios: tuple[int, ...] = (100, 120, 150)) -> DataFrame:

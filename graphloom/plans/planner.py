@@ -13,6 +13,9 @@ from ..operators.kernel import Csr
 #: Up to so many edges the adjacency is collected once and broadcast as arrays (16 bytes an arc); beyond, the
 #: level-synchronous plans on DataFrames run.
 KERNEL_EDGES = 10_000_000
+#: Edges that the depth-first search for blocks may visit on the driver, by its memory (about 1200 bytes each). Of dense
+#: graphs two forests are searched, fewer than two edges a vertex. Beyond, blocks are found on DataFrames.
+SEARCHED_EDGES = 1_000_000
 
 
 def strategy(graph: Graph, wanted: str | None = None) -> str:
@@ -23,6 +26,14 @@ def strategy(graph: Graph, wanted: str | None = None) -> str:
     return "kernel" if small else "relational"
 
 
+def search_strategy(graph: Graph, wanted: str | None = None) -> str:
+    """strategy() of the decomposition into blocks."""
+    if wanted is not None or strategy(graph) == "relational":
+        return wanted or "relational"
+    few = any(df.limit(most + 1).count() <= most for df, most in ((graph.edges, SEARCHED_EDGES), (graph.vertices, SEARCHED_EDGES // 2)))
+    return "kernel" if few else "relational"
+
+
 def collected(graph: Graph) -> Csr:
     """The adjacency as arrays on the driver; only for graphs that strategy() calls kernel."""
     ids, e = graph.vertices.toArrow()["id"].to_numpy(), graph.edges.toArrow()

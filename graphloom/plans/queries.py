@@ -444,3 +444,34 @@ def settings(spark, d):
     c = text.parse_config(_SETTINGS)
     rows = [(text.graph_name(p), c.deletion, c.num_edges, c.num_threads, c.rand_seed, c.external_edges, c.update_whole, c.update_blocks, c.run_full_fast, c.run_full, c.run_parts, c.update_parts) for p in c.paths]
     return spark.createDataFrame(rows, "name string, deletion boolean, num_edges int, num_threads int, rand_seed int, external_edges boolean, update_whole boolean, update_blocks boolean, run_full_fast boolean, run_full boolean, run_parts boolean, update_parts boolean")
+
+
+# Decomposition on DataFrames, of graphs of any size.
+
+
+def _on_dataframes(name: str, of: str, run: Query) -> None:
+    """A query whose rows are those of another one, found on DataFrames."""
+    QUERIES[f"{name}_relational"], ORACLES[f"{name}_relational"] = run, ORACLES[of]
+
+
+def _by_least_edge(g: Graph) -> DataFrame:
+    b = blocks.biconnected_components(g, "relational")
+    first = b.groupBy("block_id").agg(F.min(F.struct("u", "v")).alias("m"))
+    return b.join(first, "block_id").select("u", "v", F.col("m.u").alias("block_u"), F.col("m.v").alias("block_v"))
+
+
+_ids_of_points = _CUT + "last as (select 1) select a as id, count(distinct l) as branches from c group by 1 having count(distinct l) > 1"
+_on_dataframes("bicomponents", "bicomponents", lambda spark, d: _by_least_edge(geo(spark, d).insert_edges(spark.createDataFrame([NEW], "a long, b long"))))
+_on_dataframes("articulation_points", "articulation_points_mesh", lambda spark, d: blocks.articulation_points(mesh(spark, d), "relational"))
+_on_dataframes("bridges", "bridges_mesh", lambda spark, d: blocks.bridges(mesh(spark, d), "relational"))
+_on_dataframes("branch_sizes", "branch_sizes", lambda spark, d: blocks.branch_sizes(geo(spark, d), "relational"))
+_on_dataframes("edge_block", "edge_block", lambda spark, d: blocks.edge_block(geo(spark, d), *NEW, "relational")[1].select("id", "is_art", "vg"))
+_on_dataframes("bridge_free_parts", "bridge_free_parts_mesh", lambda spark, d: blocks.bridge_free_parts(mesh(spark, d), "relational"))
+_on_dataframes("connection_vertices", "connection_vertices", lambda spark, d: blocks.connection_vertices(geo(spark, d), "relational"))
+_on_dataframes("largest_block", "largest_block", lambda spark, d: stats.largest_block_stats(geo(spark, d), "relational"))
+_on_dataframes("count_blocks", "count_blocks", lambda spark, d: stats.count_blocks(geo(spark, d), 2, "relational"))
+_on_dataframes("random_non_bridges", "random_non_bridges", lambda spark, d: stats.random_non_bridges(stored_graph(mesh(spark, d)), 7, 1111, "relational"))
+QUERIES["articulation_points_walk"] = lambda spark, d: blocks.articulation_points(walk(spark, d), "relational")
+ORACLES["articulation_points_walk"] = _with("walk", _ids_of_points)
+QUERIES["bridges_walk"] = lambda spark, d: blocks.bridges(walk(spark, d), "relational")
+ORACLES["bridges_walk"] = _with("walk", _BRIDGES + "last as (select 1) select u, v from bridges")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,10 @@ def broadcast_if_small(stored: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A stored table of a few numbers a row, to be sent to all executors if it has at most so many rows; beyond
     that it is joined by a shuffle."""
     return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
+def stored_with(df: DataFrame, **figures) -> tuple[DataFrame, dict]:
+    """stored(), and aggregates of its rows, taken while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(k) for k, c in figures.items()]))
+    return out, seen.get
