@@ -9,12 +9,41 @@ from ..graph import Graph
 from ..operators import blocks
 
 
+#: Ranges that a pass of select() counts, and values few enough to be sorted.
+RANGES, FEW = 4096, 10_000
+
+
+def select(df: DataFrame, col: str, k: int) -> float:
+    """The k-th smallest value (from 0) of a column of numbers, NaN last; nulls don't count. Each pass counts the values
+    of RANGES equal ranges and goes on in the one that holds the k-th, so no task and no buffer sees more than a partition."""
+    x = df.select(F.col(f"`{col}`").cast("double").alias("x")).where("x is not null")
+    while True:
+        finite = F.abs("x") < float("inf")
+        seen = x.agg(F.count("*").alias("n"), F.min(F.when(finite, F.col("x"))).alias("lo"), F.max(F.when(finite, F.col("x"))).alias("hi")).first()
+        if not 0 <= k < seen.n:
+            raise IndexError(f"there are {seen.n} values")
+        if seen.n <= FEW:
+            return x.orderBy("x").offset(k).limit(1).first().x
+        lo, hi = seen.lo or 0.0, seen.hi or 0.0
+        width = hi / 2 - lo / 2 or 1.0  # halves, as the difference may be too large
+        place = F.least(F.lit(RANGES - 1), F.floor((F.col("x") / 2 - F.lit(lo / 2)) / F.lit(width) * RANGES).cast("int"))
+        place = F.when(F.isnan("x"), RANGES + 1).when(F.col("x") == float("inf"), RANGES).when(F.col("x") == -float("inf"), -1).otherwise(place)
+        ranges = x.groupBy(place.alias("r")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("r").collect()  # RANGES rows
+        for r in ranges:
+            if k < r.n:
+                break
+            k -= r.n
+        if r.lo == r.hi or r.r > RANGES:
+            return r.lo
+        x = x.where((F.col("x") >= r.lo) & (F.col("x") <= r.hi))
+
+
 def simple_stats(df: DataFrame, col: str) -> DataFrame:
     """n, min, max, mean, stddev (of the population), median (the upper one). Nulls don't count; no rows: nulls."""
     x = F.col(col)
     n = df.agg(F.count(x)).first()[0]
-    at = (n // 2 + 0.5) / n if n else 0.5
-    return df.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"), F.expr(f"percentile_disc({at!r}D) within group (order by `{col}`)").alias("median"))
+    median = F.lit(select(df, col, n // 2) if n else None).cast("double")
+    return df.agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"), median.alias("median"))
 
 
 def confidence_95(stats: DataFrame) -> DataFrame:

@@ -48,6 +48,57 @@ def repaired(g: kernel.Csr, a: int, b: int, d: np.ndarray, sigma: np.ndarray) ->
     return d, sigma
 
 
+def sunk(g: kernel.Csr, a: int, b: int, d: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and path counts after the edge (a, b) has gone (g is without it), from those before it. Vertices that
+    lose their last neighbour a level up sink, level by level from the farther end; then they rise to the first level
+    where another neighbour holds them, and path counts are summed anew below what has changed."""
+    if d[a] > d[b]:
+        a, b = b, a
+    d, sigma, old = d.copy(), sigma.copy(), d
+    if d[a] < 0 or d[b] == d[a]:
+        return d, sigma
+    down, touched = np.zeros(len(g), bool), np.zeros(len(g), bool)
+    level, front = int(d[b]), np.array([b])
+    while len(front):
+        s, t = g.out(front)
+        held = np.zeros(len(g), bool)
+        held[s[(old[t] == level - 1) & ~down[t]]] = True
+        touched[front] = True
+        falls = front[~held[front]]
+        down[falls] = True
+        s, t = g.out(falls)
+        front, level = np.unique(t[old[t] == level + 1]), level + 1
+    fallen = np.flatnonzero(down)
+    d[fallen], sigma[fallen] = -1, 0.0
+    s, t = g.out(fallen)
+    waits = np.full(len(g), np.iinfo(np.int64).max)
+    np.minimum.at(waits, s[d[t] >= 0], d[t[d[t] >= 0]] + 1)
+    left = fallen[waits[fallen] < np.iinfo(np.int64).max]
+    while len(left):
+        level = int(waits[left].min())
+        now = left[waits[left] == level]
+        d[now] = level
+        _, t = g.out(now)
+        more = t[down[t] & (d[t] < 0)]
+        waits[more] = np.minimum(waits[more], level + 1)
+        left = np.union1d(left, more)
+        left = left[d[left] < 0]
+    dirty = np.flatnonzero(touched & (d >= 0))
+    while len(dirty):
+        level = int(d[dirty].min())
+        now = dirty[d[dirty] == level]
+        s, t = g.out(now)
+        before = sigma[now].copy()
+        sigma[now] = 0.0
+        up = d[t] == level - 1
+        np.add.at(sigma, s[up], sigma[t[up]])
+        other = np.zeros(len(g), bool)
+        other[now[(sigma[now] != before) | down[now]]] = True
+        below = t[other[s] & (d[t] == level + 1)]
+        dirty = np.union1d(dirty[d[dirty] > level], below)
+    return d, sigma
+
+
 @dataclass
 class _Work:
     """A block with and without the edge, as arrays; weights; affected sources."""
@@ -266,10 +317,17 @@ class SourceState:
 
     def insert(self, a: int, b: int) -> DataFrame:
         """Takes the edge in; id, delta of betweenness. Both ends are vertices of the graph."""
+        return self._change(a, b, "insert")
+
+    def delete(self, a: int, b: int) -> DataFrame:
+        """Takes the edge out; id, delta of betweenness. Components may split."""
+        return self._change(a, b, "delete")
+
+    def _change(self, a: int, b: int, op: str) -> DataFrame:
         from .traverse import expanded, kept
 
-        out = stored(delta(self.graph, a, b, "insert", "graph"))
-        # both ends get a neighbour that their twins don't have; those may need another to stand for them
+        out = stored(delta(self.graph, a, b, op, "graph"))
+        # both ends get or lose a neighbour, other than their twins; those may need another to stand for them
         alone = F.col("id").isin(a, b)
         rest = self._same.where(~alone)
         least = rest.groupBy("rep").agg(F.min("id").alias("now"))
@@ -278,14 +336,14 @@ class SourceState:
         rows = stored(expanded(self._rows, self._same.join(same.where("id = rep").select("id"), "id", "left_semi")))
         da, db = (rows.where(F.col("v") == x).select("s", F.col("dist").alias(n)) for x, n in ((a, "da"), (b, "db")))
         far = stored(da.join(db, "s").where("da <> db").select("s"))
-        self.graph = kept(changed(self.graph, a, b, "insert"))
-        g = collected(self.graph)
+        self.graph = kept(changed(self.graph, a, b, op))
+        g, repair = collected(self.graph), repaired if op == "insert" else sunk
         held = self.graph.edges.sparkSession.sparkContext.broadcast((g, int(g.at(a)), int(g.at(b))))
 
         def run(_, rows: pd.DataFrame) -> pd.DataFrame:
             g, x, y = held.value
             rows = rows.sort_values("v")
-            dist, sigma = repaired(g, x, y, rows["dist"].to_numpy(np.int64), rows["sigma"].to_numpy())
+            dist, sigma = repair(g, x, y, rows["dist"].to_numpy(np.int64), rows["sigma"].to_numpy())
             return rows.assign(dist=dist.astype(np.int32), sigma=sigma)
 
         moved = rows.join(far, "s", "left_semi").groupBy("s").applyInPandas(run, "s long, v long, dist int, sigma double")  # a row for each vertex

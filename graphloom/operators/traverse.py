@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.planner import collected, shared, strategy
-from ..store import stored
+from ..store import broadcast_if_small, stored
 from . import kernel
 
 
@@ -136,3 +136,17 @@ def connected_components(graph: Graph, wanted: str | None = None) -> DataFrame:
 def component_sizes(graph: Graph, wanted: str | None = None) -> DataFrame:
     """component, size."""
     return connected_components(graph, wanted).groupBy("component").agg(F.count("*").alias("size"))
+
+
+def component_graphs(graph: Graph, wanted: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The components as graphs: component, id of all vertices, and component, u, v of all edges. Rows of one component
+    are in no task of their own, so a large one stays spread; part() gives one of them as a graph."""
+    names = stored(connected_components(graph, wanted))
+    edges = graph.edges.join(broadcast_if_small(names).withColumnRenamed("id", "u"), "u").select("component", "u", "v")
+    return names.select("component", "id"), edges
+
+
+def part(vertices: DataFrame, edges: DataFrame, component: int) -> Graph:
+    """One of component_graphs()."""
+    own = F.col("component") == component
+    return Graph(vertices.where(own).select("id"), edges.where(own).select("u", "v"))

@@ -188,6 +188,13 @@ def component_sizes(spark, d):
     return traverse.component_sizes(_ringless(spark, d))
 
 
+@query(_with("geo", "lab(v, l) as (select id, id from n union select e.t, lab.l from lab join e on e.s = lab.v where lab.l < e.t), comp(id, c) as (select v, min(l) from lab group by 1) select c as component, u, v from edges join comp on comp.id = u union all select c, id, id from comp", _RINGLESS))
+def component_graphs(spark, d):
+    """The edges of every component, and its vertices as (component, id, id)."""
+    vertices, edges = traverse.component_graphs(_ringless(spark, d), "relational")
+    return edges.union(vertices.select("component", "id", F.col("id")))
+
+
 @query(_CC)
 def component_sizes_relational(spark, d):
     return traverse.component_sizes(_ringless(spark, d), "relational")
@@ -408,6 +415,14 @@ def _state(g: Graph) -> DataFrame:
     return state.table.select("s", "v", F.col("dist").cast("long").alias("dist"), "sigma")
 
 
+def _state_after_deletion(g: Graph) -> DataFrame:
+    state = incremental.SourceState(g)
+    state.insert(*NEW)
+    state.delete(*_RING)
+    return state.table.select("s", "v", F.col("dist").cast("long").alias("dist"), "sigma")
+
+
+_on_mesh("source_state_deletion", _ALL + "last as (select 1) select s, v, cast(d as bigint) as dist, sg as sigma from r", _state_after_deletion, f"({_NEW_SQL}) except select {_RING[0]}, {_RING[1]}")
 _on_mesh("source_state", _ALL + "last as (select 1) select s, v, cast(d as bigint) as dist, sg as sigma from r", _state, _NEW_SQL)
 
 
