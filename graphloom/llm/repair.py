@@ -40,8 +40,8 @@ HEADER = struct.Struct("<8sqqqqqqqqq")
 SHARD_TOKENS, FILE_BYTES = 1 << 20, 16 << 20
 #: A pair that occurs less often stays as it is, and a round that replaces a smaller share of the symbols is the last.
 LEAST, SHARE = 24, 0.01
-#: Text that is encoded at once.
-TEXT_BYTES = 8 << 20
+#: Text that is encoded at once, from several batches where they are smaller.
+TEXT_BYTES = 16 << 20
 _SLOTS = 20
 
 
@@ -61,15 +61,13 @@ def grammar(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) ->
     last[ends[ends > 0] - 1] = True
     left, right, n_rules, share = [], [], 0, 16
     while len(sym) > 1:
-        key = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        slot = np.where(last[:-1], np.int32(1 << _SLOTS), slot)  # ends of documents
+        slot = (sym[:-1] * np.uint32(0x9E3779B1) + sym[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOTS)
+        slot[last[:-1]] = 1 << _SLOTS  # ends of documents
         often = np.bincount(slot, minlength=(1 << _SLOTS) + 1)
         often[-1] = 0
         need = max(least, int(often.max()) // share)
         at = np.flatnonzero((often >= need)[slot])
-        near = key[at]
-        del key, slot
+        near = (sym[at].astype(np.uint64) << np.uint64(32)) | sym[at + 1]
         pairs, n = np.unique(near, return_counts=True)
         pairs, n = pairs[n >= need], n[n >= need]
         if not len(pairs):
@@ -123,6 +121,8 @@ def lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 
 
 def _packed(sym: np.ndarray, bits: int) -> bytes:
+    if bits in (16, 32):
+        return sym.astype(f"<u{bits // 8}").tobytes()
     out = []
     for k in range(0, len(sym), 1 << 16):  # a multiple of eight symbols
         s = sym[k : k + (1 << 16), None]
@@ -132,6 +132,8 @@ def _packed(sym: np.ndarray, bits: int) -> bytes:
 
 def _unpacked(raw: np.ndarray, bits: int, a: int, b: int) -> np.ndarray:
     """The symbols from a up to b."""
+    if bits in (16, 32):
+        return raw[a * bits // 8 : b * bits // 8].view(f"<u{bits // 8}").astype(np.int64)
     out = []
     for k in range(a, b, 1 << 16):
         n = min(b - k, 1 << 16)
@@ -197,8 +199,8 @@ class Shard:
         if begin >= end:
             return np.empty(0, np.uint32)
         sym = _unpacked(self.raw, self.bits, symbol, int(self.where[upto - 1]))
-        at = np.cumsum(self._sizes(sym))
-        at = at - self._sizes(sym)
+        size = self._sizes(sym)
+        at = np.cumsum(size) - size
         out = np.empty(end - begin, np.uint32)
         while len(sym):
             if begin or end < n:
@@ -321,6 +323,19 @@ class Encoder:
         return np.concatenate(out), counts
 
 
+def _gathered(batches, most: int):
+    """Small batches put together to about so many bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the ids of every text, ended by end_id, to shards in the order of the documents' ids; returns the manifest:
     part, number, path, at, bytes, docs, tokens, least_id, with a row for each shard. Parts follow one another, and shards in
@@ -352,7 +367,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, id
                 out = None
             return row
 
-        for piece in slices(batches, "t", TEXT_BYTES):
+        for piece in _gathered(slices(batches, "t", TEXT_BYTES), TEXT_BYTES):
             found = []
             ids, ends = encoder.encode(values(piece, "t"))
             for i, a, b in zip(ids_of(piece, "i").tolist(), [0, *ends.tolist()], ends.tolist()):
