@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..graph import Graph
 from ..operators import betweenness, blocks, incremental, traverse
+from ..operators.blocktree import BlockTree
 from ..sources import text
 from ..store import shared_dir, stored
 from ..streaming.edges import replay
@@ -490,3 +491,26 @@ QUERIES["articulation_points_walk"] = lambda spark, d: blocks.articulation_point
 ORACLES["articulation_points_walk"] = _with("walk", _ids_of_points)
 QUERIES["bridges_walk"] = lambda spark, d: blocks.bridges(walk(spark, d), "relational")
 ORACLES["bridges_walk"] = _with("walk", _BRIDGES + "last as (select 1) select u, v from bridges")
+
+
+# The tree of blocks after insertions, nothing decomposed anew: two suppliers, of different nations; a vertex that comes in,
+# and its second edge; a supplier and a region.
+_GROWN = [(SUPPLIERS + 1, SUPPLIERS + 2), (-7, SUPPLIERS + 3), (-7, 3), NEW]
+_GROWN_SQL = "select * from edges0" + "".join(f" union select cast({min(e)} as bigint), cast({max(e)} as bigint)" for e in _GROWN)
+
+
+def _grown(g: Graph) -> BlockTree:
+    tree = BlockTree(g)
+    for e in _GROWN:
+        tree.insert(*e)
+    return tree
+
+
+def _tree_blocks(g: Graph) -> DataFrame:
+    found = _grown(g).blocks()
+    return found.edges.join(found.numbers.select("top", F.col("u").alias("block_u"), F.col("v").alias("block_v")), "top").select("u", "v", "block_u", "block_v")
+
+
+_on_mesh("block_tree", _BLOCKS + "select u, v, bu as block_u, bv as block_v from blk", _tree_blocks, _GROWN_SQL)
+_on_mesh("block_tree_branches", ORACLES["branch_sizes"].split(ARCS_SQL)[1], lambda g: (b := _grown(g).blocks().branches).join(b.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "id", "left_semi").select("id", F.col("n").alias("size")), _GROWN_SQL)
+_on_mesh("block_tree_parts", _PARTS + "last as (select 1) select id, muc_id from muc", lambda g: _grown(g).parts, _GROWN_SQL)
