@@ -107,6 +107,8 @@ class _Work:
     without: kernel.Csr
     weight: np.ndarray
     sources: np.ndarray
+    gap: np.ndarray  # of each vertex's distances to the two ends, before
+    same: np.ndarray  # whether its distances to all vertices are the same with and without the edge
     plan: UpdatePlan
 
 
@@ -152,8 +154,9 @@ def _work(g: kernel.Csr, a: int, b: int, op: str, decomposition: str) -> _Work |
     base = less if op == "insert" else h
     gap = np.abs(kernel.distances(base, p) - kernel.distances(base, q))
     far, near = gap > 0, gap == 1
-    plan = UpdatePlan(decomposition, op, len(h), len(h.to) // 2, int(far.sum()), int((~far).sum()), int(near.sum()))
-    return _Work(h, less, weight, np.flatnonzero(far), plan)
+    same = near if op == "insert" else np.abs(kernel.distances(less, p) - kernel.distances(less, q)) == 1
+    plan = UpdatePlan(decomposition, op, len(h), len(h.to) // 2, int(far.sum()), int((~far).sum()), int(near.sum()), int(same.sum()))
+    return _Work(h, less, weight, np.flatnonzero(far), gap, same, plan)
 
 
 def explain(graph: Graph, a: int, b: int, op: str, decomposition: str = "bcc") -> UpdatePlan:
@@ -177,6 +180,28 @@ def _change(work: tuple, s: int) -> np.ndarray:
     return kernel.accumulated(more, s, d2, sigma2, weight) - kernel.accumulated(less, s, d, sigma, weight)
 
 
+def _change_at_once(work: tuple, s: int) -> np.ndarray:
+    """What _change gives, for a source one hop nearer to one end even without the edge: no distance changes, so both
+    graphs have the levels of one search, and the one without the edge lacks one arc of them. Path counts and
+    dependencies of both are the two columns of one pass forth and one back."""
+    _, more, x, y, weight = work
+    d, _, dag = kernel.paths(more, s)
+    if d[x] > d[y]:
+        x, y = y, x
+    sigma, delta = np.zeros((len(more), 2)), np.zeros((len(more), 2))
+    sigma[s] = 1.0
+    for a, t in dag:
+        paths = sigma[a]
+        paths[(a == x) & (t == y), 0] = 0.0
+        np.add.at(sigma, t, paths)
+    for a, t in reversed(dag):
+        share = sigma[a] / sigma[t] * (weight[t, None] + delta[t])
+        share[(a == x) & (t == y), 0] = 0.0
+        np.add.at(delta, a, share)
+    delta[s] = 0.0
+    return delta[:, 1] - delta[:, 0]
+
+
 def delta(graph: Graph, a: int, b: int, op: str, decomposition: str = "bcc", max_sources: dict[int, int] | None = None, wanted: str | None = None) -> DataFrame:
     """id, delta: how betweenness changes; vertices that don't change may be left out.
 
@@ -197,20 +222,19 @@ def delta(graph: Graph, a: int, b: int, op: str, decomposition: str = "bcc", max
         ends = [int(k) for k in work.with_edge.at([a, b])]
         sources, times = np.unique(kernel.twins(work.with_edge, work.weight, ends)[sources], return_counts=True)
     else:
-        base = work.without if op == "insert" else work.with_edge
-        gap = np.abs(kernel.distances(base, int(base.at(a))) - kernel.distances(base, int(base.at(b))))[sources]
+        gap = work.gap[sources]
         sources = np.concatenate([sources[gap == 1][: max_sources.get(1, len(sources))], sources[gap >= 2][: max_sources.get(2, len(sources))]])
         times = times[: len(sources)]
     held = spark.sparkContext.broadcast((work.without, work.with_edge, int(work.with_edge.at(a)), int(work.with_edge.at(b)), work.weight))
     sign = 0.5 if op == "insert" else -0.5
-    jobs = spark.createDataFrame(pd.DataFrame({"s": sources, "times": times}), "s long, times long")
+    jobs = spark.createDataFrame(pd.DataFrame({"s": sources, "times": times, "same": work.same[sources]}), "s long, times long, same boolean")
 
     def run(batches):
         work = held.value
         total = np.zeros(len(work[0]))
         for batch in batches:
-            for s, times in zip(*[c.to_pylist() for c in batch.columns]):
-                total += sign * times * work[-1][s] * _change(work, s)
+            for s, times, same in zip(*[c.to_pylist() for c in batch.columns]):
+                total += sign * times * work[-1][s] * (_change_at_once if same else _change)(work, s)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(work[0].ids[some]), pa.array(total[some])], names=["id", "delta"])
 

@@ -55,6 +55,7 @@ class UpdatePlan:
     sources: int  # affected ones
     pruned: int
     near: int = 0  # affected sources that are one step nearer to one end
+    at_once: int = 0  # of these, sources whose distances are the same with and without the edge: one pass for both graphs
 
     def explain(self) -> str:
         share = self.pruned / max(1, self.pruned + self.sources)
