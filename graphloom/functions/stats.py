@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph
+from ..graph import Graph, canonical
 from ..operators import blocks
+from ..store import broadcast_if_small, stored
 
 
 #: Ranges that a pass of select() counts, and values few enough to be sorted.
@@ -121,16 +124,67 @@ def random_non_bridges(graph: Graph, k: int, seed: int = 0, wanted: str | None =
     return random_edges(graph.edges.join(blocks.bridges(graph, wanted), ["u", "v"], "left_anti"), k, seed)
 
 
-def speedup_report(graph: Graph, edges: list[tuple[int, int]], ratios: tuple[int, ...] = (100, 120, 150)) -> DataFrame:
-    """For each edge that may come in or is there: its block's size, pruning counts in it, and ideal speedups."""
-    from ..operators.incremental import explain
+#: Costs of an update's iteration in per cent of a full one's, that speedups are estimated for.
+RATIOS = (100, 120, 150)
+
+
+def _numbered(edges: DataFrame, order: list[str]) -> DataFrame:
+    """k, a, b, stored, of drawn edges."""
+    return stored(edges.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("k"), F.col("u").alias("a"), F.col("v").alias("b")))  # drawn edges only
+
+
+def speedup_info(graph: Graph, edges: DataFrame, ratios: tuple[int, ...] = RATIOS, wanted: str | None = None) -> DataFrame:
+    """u, v, n, m, d0, d1, d2, frac (of sources with work to do) and speedups for edges(u, v) that may come in or are
+    there: n vertices and m edges of the block with the edge in it, sources in it by how much nearer they are to one end
+    without the edge (0, 1, more), and ideal speedups (null where no source has work). One search serves 64 edges. Both
+    ends are different vertices of the graph; pairs are taken once, in any order."""
+    from ..operators.bitsearch import gaps, joined_blocks
+
+    n, m = graph.size()
+    pairs = _numbered(canonical(edges.select("u", "v")), ["u", "v"])
+    crossed, of_blocks = joined_blocks(graph, pairs, wanted)
+    parts = stored(of_blocks.join(broadcast_if_small(crossed), "block"))  # the edges of an edge's block, as often as drawn edges are in it
+    ends = pairs.select("k", F.explode(F.array("a", "b")).alias("id"))
+    within = stored(parts.select("k", F.explode(F.array("u", "v")).alias("id")).union(ends).distinct())
+    there = graph.edges.join(F.broadcast(pairs.select("k", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))), ["u", "v"]).select("k", F.lit(0).alias("new"))
+    sizes = pairs.select("k", "a", "b").join(parts.groupBy("k").agg(F.count("*").alias("m")), "k", "left").join(there, "k", "left")
+    sizes = sizes.select("k", F.col("a").alias("u"), F.col("b").alias("v"), (F.coalesce("m", F.lit(0)) + F.coalesce("new", F.lit(1))).cast("long").alias("m"))
+    out = sizes.join(gaps(graph, pairs, within, wanted), "k").withColumn("frac", F.lit(1.0) - F.col("d0") / F.col("n"))
+    speedup = lambda r: F.when(F.col("frac") > 0, ideal_speedup_bcc(F.col("frac"), F.col("n"), F.col("m"), F.lit(n), F.lit(m), r))
+    return out.select("u", "v", "n", "m", "d0", "d1", "d2", "frac", *[speedup(r).alias(f"speedup_{r}") for r in ratios])
+
+
+def speedup_summary(info: DataFrame, ratios: tuple[int, ...] = RATIOS) -> DataFrame:
+    """ratio, and simple_stats of the speedups of speedup_info for it."""
+    info = stored(info)
+    each = [simple_stats(info, f"speedup_{r}").select(F.lit(r).alias("ratio"), "*") for r in ratios]
+    return reduce(DataFrame.union, each)
+
+
+def largest_block_speedups(graph: Graph, k: int, seed: int = 0, ratios: tuple[int, ...] = RATIOS, wanted: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """For k edges of the block with most vertices and edges (the first of equals), in a seeded order: u, v, n, d0, d1,
+    d2, frac_d0 in it, each without its edge. And of all: stat (mean, stddev, median, min, max), frac_d0, and the ideal
+    speedup if that share of the sources has no work, by ratio; null where none has any."""
+    from ..operators.bitsearch import gaps
 
     n, m = graph.size()
-    spark, rows = graph.vertices.sparkSession, []
-    for a, b in edges:
-        there = graph.has_edges(spark.createDataFrame([(a, b)], "u long, v long")).first().there
-        p = explain(graph, a, b, "delete" if there else "insert")
-        rows.append((a, b, p.block_vertices, p.block_edges, p.pruned, p.sources))
-    base = spark.createDataFrame(rows, "u long, v long, n long, m long, pruned long, sources long")
-    frac = F.col("sources") / F.col("n")
-    return base.withColumns({f"speedup_{r}": ideal_speedup_bcc(frac, F.col("n"), F.col("m"), F.lit(n), F.lit(m), r) for r in ratios})
+    found = stored(blocks.biconnected_components(graph, wanted))
+    both = found.select("block_id", F.explode(F.array("u", "v")).alias("id"))
+    sizes = both.groupBy("block_id").agg(F.countDistinct("id").alias("n")).join(found.groupBy("block_id").agg(F.count("*").alias("m")), "block_id")
+    best = sizes.orderBy((F.col("n") + F.col("m")).desc(), "block_id").first()
+    if best is None:
+        spark = graph.vertices.sparkSession
+        return spark.createDataFrame([], "u long, v long, n long, d0 long, d1 long, d2 long, frac_d0 double"), spark.createDataFrame([], "stat string, frac_d0 double, " + ", ".join(f"speedup_{r} double" for r in ratios))
+    block = Graph.of(stored(found.where(F.col("block_id") == best.block_id).select("u", "v")))
+    pairs = _numbered(random_edges(block.edges, k, seed), ["u", "v"])
+    each = stored(pairs.join(gaps(block, pairs, wanted=wanted), "k").select(F.col("a").alias("u"), F.col("b").alias("v"), "n", "d0", "d1", "d2", (F.col("d0") / F.col("n")).alias("frac_d0")))
+    names = ["mean", "stddev", "median", "min", "max"]
+    rows = simple_stats(each, "frac_d0").select(F.explode(F.array(*[F.struct(F.lit(x).alias("stat"), F.col(x).cast("double").alias("frac_d0")) for x in names])).alias("r")).select("r.*")
+    left, of = F.lit(1.0) - F.col("frac_d0"), [F.lit(x) for x in (best.n, best.m, n, m)]
+    return each, rows.select("stat", "frac_d0", *[F.when(left > 0, ideal_speedup_bcc(left, *of, r)).alias(f"speedup_{r}") for r in ratios])
+
+
+def speedup_report(graph: Graph, edges: list[tuple[int, int]], ratios: tuple[int, ...] = RATIOS) -> DataFrame:
+    """For each edge that may come in or is there: its block's size, pruning counts in it, and ideal speedups."""
+    info = speedup_info(graph, graph.vertices.sparkSession.createDataFrame(edges, "u long, v long"), ratios)
+    return info.select("u", "v", "n", "m", F.col("d0").alias("pruned"), (F.col("n") - F.col("d0")).alias("sources"), *[f"speedup_{r}" for r in ratios])

@@ -462,6 +462,56 @@ def settings(spark, d):
     return spark.createDataFrame(rows, "name string, deletion boolean, num_edges int, num_threads int, rand_seed int, external_edges boolean, update_whole boolean, update_blocks boolean, run_full_fast boolean, run_full boolean, run_parts boolean, update_parts boolean")
 
 
+# Speedup information of drawn edges. A vertex is in the block that an edge makes if no other vertex cuts it off from both ends.
+_PICKED = _DRAWS.replace("\nselect row_number()", ",\ndrawn as (select row_number()", 1) + "),\n"
+_INFO = _CUT + _PICKED + """
+src(id) as (select u from drawn union select v from drawn),""" + _PATHS + """
+member as (select drawn.u as a, drawn.v as b, n.id from drawn, n where n.id in (drawn.u, drawn.v) or not exists (
+  select 1 from c x left join c y on y.a = x.a and y.v = drawn.u left join c z on z.a = x.a and z.v = drawn.v
+  where x.v = n.id and not coalesce(x.l = y.l, false) and not coalesce(x.l = z.l, false))),
+inner_edges as (select x.a, x.b, count(*) + 1 as m from edges join member x on x.id = edges.u join member y on y.id = edges.v and y.a = x.a and y.b = x.b group by 1, 2),
+gap as (select k.a as u, k.b as v, abs(x.d - y.d) as g from member k join r x on x.s = k.a and x.v = k.id join r y on y.s = k.b and y.v = k.id),
+counts as (select u, v, count(*) as n, count(*) filter (g = 0) as d0, count(*) filter (g = 1) as d1, count(*) filter (g >= 2) as d2 from gap group by 1, 2),
+info as (select u, v, n, m, d0, d1, d2, 1 / ((n / (select count(*) from n)::double) * (1 - d0 / n::double) * ((n + m) / ((select count(*) from n) + (select count(*) from edges))::double)) as speedup from counts join inner_edges on a = u and b = v)
+"""
+_INFO_ROWS = _INFO + "select u, v, n, m, d0, d1, d2, round(speedup, 6) as speedup_100, round(speedup * 100 / 150, 6) as speedup_150 from info"
+
+
+def _drawn_info(g: Graph, wanted: str | None = None) -> DataFrame:
+    g = stored_graph(g)
+    return stats.speedup_info(g, stats.random_non_edges(g, 10, 1111), (100, 150), wanted)
+
+
+def _info_rows(g: Graph, wanted: str | None = None) -> DataFrame:
+    return _drawn_info(g, wanted).select("u", "v", "n", "m", "d0", "d1", "d2", F.round("speedup_100", 6).alias("speedup_100"), F.round("speedup_150", 6).alias("speedup_150"))
+
+
+def _rounded_stats(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[c for c in df.columns if c not in names], *[F.round(c, 6).alias(c) for c in names])
+
+
+_on_mesh("speedup_info", _INFO_ROWS, _info_rows)
+_on_mesh("speedup_info_relational", _INFO_ROWS, lambda g: _info_rows(g, "relational"))
+_on_mesh("speedup_summary", _INFO + ", each as (select ratio, speedup * 100 / ratio as x from info, (values (100), (150)) t(ratio)) select ratio, count(*) as n, round(min(x), 6) as min, round(max(x), 6) as max, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as stddev, round(list_sort(list(x))[cast(floor(count(*) / 2) as int) + 1], 6) as median from each group by 1", lambda g: _rounded_stats(stats.speedup_summary(_drawn_info(g), (100, 150)), "min", "max", "mean", "stddev", "median"))
+_LARGEST = _BLOCKS.rstrip() + """,
+best as (select * from sizes order by n + m desc, bu, bv limit 1),
+inside(u, v) as (select u, v from blk join best using (bu, bv)),
+arc(s, t) as (select u, v from inside union all select v, u from inside),
+drawn as (select u, v from inside order by md5('1111 ' || u || ' ' || v), u, v limit 20),
+hop(u, v, s, x, d) using key (u, v, s, x) as (
+  select u, v, u, u, 0 from drawn union all select u, v, v, v, 0 from drawn
+  union
+  select h.u, h.v, h.s, arc.t, min(h.d + 1) from hop h join arc on arc.s = h.x left join recurring.hop q on q.u = h.u and q.v = h.v and q.s = h.s and q.x = arc.t
+  where q.s is null and not (arc.s = h.u and arc.t = h.v) and not (arc.s = h.v and arc.t = h.u) group by 1, 2, 3, 4),
+gap as (select x.u, x.v, abs(x.d - y.d) as g from hop x join hop y on y.u = x.u and y.v = x.v and y.x = x.x where x.s = x.u and y.s = x.v),
+each as (select u, v, count(*) as n, count(*) filter (g = 0) as d0, count(*) filter (g = 1) as d1, count(*) filter (g >= 2) as d2, count(*) filter (g = 0) / count(*)::double as f from gap group by 1, 2)
+"""
+_on_mesh("largest_block_gaps", _LARGEST + "select u, v, n, d0, d1, d2, round(f, 6) as frac_d0 from each", lambda g: _rounded_stats(stats.largest_block_speedups(stored_graph(g), 20, 1111)[0], "frac_d0"))
+_on_mesh("largest_block_speedups", _LARGEST.rstrip() + """,
+total as (select unnest(['mean', 'stddev', 'median', 'min', 'max']) as stat, unnest([avg(f), stddev_pop(f), list_sort(list(f))[cast(floor(count(*) / 2) as int) + 1], min(f), max(f)]) as f from each),
+whole as (select n, m, (select count(*) from n) as gn, (select count(*) from edges) as gm from best)
+select stat, round(f, 6) as frac_d0, round(case when f < 1 then 1 / ((n / gn::double) * (1 - f) * ((n + m) / (gn + gm)::double)) end, 6) as speedup_100, round(case when f < 1 then 1 / ((n / gn::double) * (1 - f) * ((n + m) / (gn + gm)::double)) * 100 / 120 end, 6) as speedup_120 from total, whole""", lambda g: _rounded_stats(stats.largest_block_speedups(stored_graph(g), 20, 1111, (100, 120))[1], "frac_d0", "speedup_100", "speedup_120"))
+
 # Decomposition on DataFrames, of graphs of any size.
 
 
