@@ -17,10 +17,12 @@ def _numbers(lines: DataFrame) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    """A .net file: `N M`, then `source target` in each line. Vertices are 0..N-1; edges to others are left out
-    (so is the first line, whose N is one), as are loops and repeated edges."""
+    """A .net file, or a folder of its parts: `N M`, then `source target` in each line. Vertices are 0..N-1; edges to
+    others are left out (so is the first line, whose N is one), as are loops and repeated edges. In a folder the first
+    line is that of the first part by name."""
     lines = spark.read.text(path)
-    head = lines.first()
+    files = sorted(lines.inputFiles())
+    head = spark.read.text(files[0]).first() if files else None
     if head is None:
         raise ValueError(f"{path} is empty")
     n = int(head.value.split()[0])
@@ -29,12 +31,11 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
 
 
 def write_graph(graph: Graph, path: str) -> None:
-    """A .net file; vertices must be 0..N-1."""
+    """A .net file in parts: the first holds `N M`, each task writes its edges to another. Vertices must be 0..N-1."""
     n, m = graph.size()
     spark = graph.vertices.sparkSession
-    head = spark.createDataFrame([(-1, f"{n} {m}")], "k long, value string")
-    lines = head.union(graph.edges.select("u", F.concat_ws(" ", "u", "v")))
-    lines.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    head = spark.createDataFrame([(f"{n} {m}",)], "value string").coalesce(1)
+    head.union(graph.edges.select(F.concat_ws(" ", "u", "v"))).write.text(path)  # partitions in that order
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
