@@ -70,13 +70,16 @@ def _kernel_sums(graph: Graph, sources: DataFrame) -> DataFrame:
     csr = shared(graph, collected(graph))
 
     def run(batches):
-        g = csr.value
-        total, ones = np.zeros(len(g)), np.ones(len(g))
+        total = None
         for b in batches:
-            for k, w in zip(g.at(b.column(0).to_numpy()), b.column(1).to_pylist()):
-                total += w * kernel.dependencies(g, int(k), ones)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g.ids[some]), pa.array(total[some])], names=["id", "delta"])
+            if b.num_rows:
+                g = csr.value  # a task without sources needs no graph
+                total = np.zeros(len(g)) if total is None else total
+                for k, w in zip(g.at(b.column(0).to_numpy()), b.column(1).to_pylist()):
+                    total += w * kernel.dependencies(g, int(k), np.ones(len(g)))
+        if total is not None:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(g.ids[some]), pa.array(total[some])], names=["id", "delta"])
 
     return spread(sources).mapInArrow(run, "id long, delta double").groupBy("id").agg(F.sum("delta").alias("delta"))
 

@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Arcs of a graph beyond which a search for dependencies keeps none of them.
+SLICED = 2_000_000
+
 
 @dataclass
 class Csr:
@@ -79,6 +82,8 @@ def paths(g: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray
 
 def dependencies(g: Csr, s: int, weight: np.ndarray) -> np.ndarray:
     """Brandes' dependency of s on each vertex, targets weighted; 0 at s itself."""
+    if len(g.to) > SLICED:
+        return _dependencies_in_slices(g, s, weight)
     _, sigma, dag = paths(g, s)
     delta = np.zeros(len(g))
     for a, t in reversed(dag):
@@ -87,6 +92,34 @@ def dependencies(g: Csr, s: int, weight: np.ndarray) -> np.ndarray:
     return delta
 
 
+def _dependencies_in_slices(g: Csr, s: int, weight: np.ndarray, most: int = 500_000) -> np.ndarray:
+    """The same with no arcs kept and about so many at once, so beside the graph it holds some numbers a vertex."""
+
+    def slices(front):
+        cuts = np.flatnonzero(np.diff(np.cumsum(g.start[front + 1] - g.start[front]) // most)) + 1
+        for some in np.split(front, cuts):
+            yield g.out(some)
+
+    d, sigma, fronts = np.full(len(g), -1), np.zeros(len(g)), [np.array([s])]
+    d[s], sigma[s] = 0, 1.0
+    while len(fronts[-1]):
+        level, found = len(fronts), [np.empty(0, np.int64)]
+        for a, t in slices(fronts[-1]):
+            found.append(np.unique(t[d[t] < 0]))
+            d[found[-1]] = level
+            new = d[t] == level
+            np.add.at(sigma, t[new], sigma[a[new]])
+        fronts.append(np.concatenate(found))
+    delta = np.zeros(len(g))
+    for level in range(len(fronts) - 1, 0, -1):
+        for a, t in slices(fronts[level]) if len(fronts[level]) else ():
+            up = d[t] == level - 1
+            a, t = a[up], t[up]
+            np.add.at(delta, t, sigma[t] / sigma[a] * (weight[a] + delta[a]))
+    delta[s] = 0.0
+    return delta
+
+
 def dependencies_of(g: Csr, sources: np.ndarray, times: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Sum of the dependencies of some sources, each taken so many times. Small dense graphs as matrices, all sources
     together."""

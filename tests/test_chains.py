@@ -1,5 +1,7 @@
 """Searches over the ends of chains only, and searches of large graphs in slices of arcs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -59,3 +61,22 @@ def test_long_chains_are_not_walked_level_by_level(monkeypatch):
     got = chains.dependencies_of(np.array([5, 200]), np.ones(2))
     assert got == pytest.approx(kernel.dependencies(g, 5, np.ones(len(g))) + kernel.dependencies(g, 200, np.ones(len(g))))
     assert all(len(dag) <= ends for dag in seen)
+
+
+def test_slices_give_the_same_dependencies():
+    for seed in range(20):
+        n, e = chained(seed)
+        g = kernel.Csr.of(np.arange(n + 2), *np.array([*e, (n, n + 1)]).T)
+        weight = np.random.default_rng(seed).integers(1, 6, n + 2).astype(float)
+        for s in range(0, n + 2, 5):
+            assert kernel._dependencies_in_slices(g, s, weight, 3) == pytest.approx(kernel.dependencies(g, s, weight))
+
+
+def test_large_graphs_are_searched_without_keeping_arcs():
+    rng = np.random.default_rng(0)
+    u, v = rng.integers(0, 20_000, (2, 1_500_000))
+    g = kernel.Csr.of(np.arange(20_000), u[u != v], v[u != v])
+    tracemalloc.start()
+    kernel.dependencies(g, 0, np.ones(len(g)))
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
