@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, broadcast_if_small, components, ids_of, mix, null_again, row_id, slices, split_words, values, word_hashes
+from .common import FEW, Scratch, as_bytes, broadcast_if_small, ids_of, mix, null_again, row_id, slices, split_words, stars, values, word_hashes
 from .substring import sequence_hashes
 
 #: Columns beside those of the documents, which may have any other name.
@@ -214,7 +214,8 @@ def _plausible(percent: int):
             for n in np.unique(w[most >= 0]).tolist():
                 at = np.flatnonzero((w == n) & (most >= 0))
                 keep[at] = np.abs(folded([mx[j] for j in at], n) - folded([my[j] for j in at], n)).sum(axis=1) <= most[at]
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            once = np.unique(np.stack([a[keep], b[keep]], axis=1), axis=0)  # rows of ids that repeat
+            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
 
     return run
 
@@ -269,85 +270,96 @@ class Groups:
 
     def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text"):
         self.k, self.percent, self.scratch = k, percent, Scratch(docs.sparkSession, "jaccard")
-        save = self.scratch.save
+        save, small = self.scratch.save, self.scratch.small
         self.texts = docs.select(row_id(id_col).alias("i"), F.col(text_col).alias("t"))
-        self.seen = save(self.texts.mapInArrow(_classes(k), "i long, n long, h long, g long, m binary, c binary"), "seen")
-        slim = self.seen.select("i", "n", "h", "g").where("n > 0")
-        heads = save(slim.groupBy("n", "h", "g").agg(F.min("i").alias("head")), "heads")
-        copies = save(slim.join(heads, ["n", "h", "g"]).where("i <> head").select("i", "head").distinct(), "copies")
+        self.seen, self.sizes = small(self.texts.mapInArrow(_classes(k), "i long, n long, h long, g long, m binary, c binary"), "seen", 0, most=F.max("n"), all=F.sum("n"))
+        # most sets have one row, which is its own class; the first row of each other set stands for it
+        several = self.seen.select("i", "n", "h", "g").where("n > 0").groupBy("n", "h", "g").agg(F.min("i").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
+        heads, _ = small(several, "heads", FEW // 2)
+        rows = self.seen.select("i", "n", "h", "g").join(heads, ["n", "h", "g"], "left").select("i", "n", F.coalesce("head", F.when(F.col("n") > 0, F.col("i"))).alias("head"))
+        copies = save(rows.where("i <> head").select("i", "head"), "copies")
+        left_out, found = small(copies.select("i"), "ids")
         # an id that repeats may be the first of one set and a copy of another; it stays, and links both
-        firsts = heads.select(F.col("head").alias("i"))
-        twins = copies.join(firsts, "i", "left_semi").select(F.col("head").alias("a"), F.col("i").alias("b"))
-        members = self._members(copies.select("i").distinct().join(firsts, "i", "left_anti"))
+        both, _ = small(rows.where("i = head").select("i").join(left_out, "i", "left_semi"), "both")
+        twins = copies.join(both, "i", "left_semi").select(F.col("head").alias("a"), F.col("i").alias("b"))
+        members = self._members(left_out.join(both, "i", "left_anti"), found["n"] <= FEW)
         roots = self._resolve(members, twins)
-        slim = self.seen.select("i", "n", "h", "g").join(heads, ["n", "h", "g"], "left").join(roots.select(F.col("id").alias("head"), "component"), "head", "left")
-        self.docs = slim.select("i", "n", F.coalesce("component", "head", "i").alias("component"))
+        self.docs = rows.join(roots.select(F.col("id").alias("head"), "component"), "head", "left").select("i", "n", F.coalesce("component", "head", "i").alias("component"))
 
-    def _members(self, copies: DataFrame) -> DataFrame:
+    def _members(self, copies: DataFrame, few: bool) -> DataFrame:
         """sig, a, i: the buckets with several members, each set of members once; a is the least of them."""
-        save = self.scratch.save
-        size = self.seen.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
-        bits = min(64 - BAND_BITS, 6 + int(size["all"] or 0).bit_length())  # dozens of hashes for each signature
+        save, small = self.scratch.save, self.scratch.small
+        bits = min(64 - BAND_BITS, 6 + int(self.sizes["all"] or 0).bit_length())  # dozens of hashes for each signature
         sign = PartEnum(self.percent)
-        sign.grow(int(size["most"] or 0))
-        signed = self.texts.mapInArrow(_sign(self.k, self.percent, bits), "sig long, i long")
+        sign.grow(int(self.sizes["most"] or 0))
+        texts = self.texts.join(F.broadcast(copies), "i", "left_anti") if few else self.texts  # many copies go after signing: ids are shorter than texts
+        signed = texts.mapInArrow(_sign(self.k, self.percent, bits), "sig long, i long")
         # nearly all signatures are their own: hash maps of them would fill an executor's heap, sorted runs don't
-        counted = self.texts.mapInArrow(_counted(self.k, self.percent, bits), "sig long, often long")
-        shared = save(counted.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, often long"), "shared")
-        held = save(signed.join(shared, "sig").join(copies, "i", "left_anti"), "held")
+        counted = texts.mapInArrow(_counted(self.k, self.percent, bits), "sig long, often long")
+        shared, _ = small(counted.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, often long"), "shared")
+        held = signed.join(shared, "sig")
+        held = held if few else held.join(copies, "i", "left_anti")
         spare = F.element_at(F.array(*[F.lit(need - 1) for _, _, need in sign.bands]), (F.col("band") + 1).cast("int"))
         order = Window.partitionBy("i", "band").orderBy(F.desc("often"), "sig")  # no more than one document's signatures
         kept = held.withColumn("band", F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)).withColumn("r", F.row_number().over(order)).where(F.col("r") > spare)
         kept = save(kept.select("sig", "i"), "kept")
-        self.scratch.drop(shared, held)
         buckets = kept.groupBy("sig").agg(F.count("*").alias("k"), F.min("i").alias("a"), F.max("i").alias("z"), *[F.sum(F.xxhash64("i", F.lit(j)).cast("decimal(20,0)")).alias(x) for j, x in enumerate("xy")]).where("a <> z")
         band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
-        once = buckets.groupBy("k", "a", "z", "x", "y", band).agg(F.min("sig").alias("sig")).select("sig", "a")
+        once, _ = small(buckets.groupBy("k", "a", "z", "x", "y", band).agg(F.min("sig").alias("sig")).select("sig", "a"), "once")
         members = save(kept.join(once, "sig").select("sig", "a", "i"), "members")
-        self.scratch.drop(kept)
+        self.scratch.drop(shared, kept)
         return members
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs, those that are similar: by the histograms, and what these leave by the sets."""
+        small = self.scratch.small
         maps = self.seen.select("i", "n", "m")
-        known = pairs.join(maps.toDF("b", "y", "my"), "b").join(maps.toDF("a", "x", "mx"), "a")
-        pairs = self.scratch.save(known.select("a", "b", "x", "y", "mx", "my").mapInArrow(_plausible(self.percent), "a long, b long").distinct(), "near")
-        ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
-        sets = self.scratch.save(self.texts.join(broadcast_if_small(self.scratch.save(ids, "ids")), "i", "left_semi").mapInArrow(_sets(self.k), "i long, s array<long>"), "sets")
+        known = maps.toDF("b", "y", "my").join(pairs, "b").join(maps.toDF("a", "x", "mx"), "a")
+        pairs, near = small(known.select("a", "b", "x", "y", "mx", "my").mapInArrow(_plausible(self.percent), "a long, b long"), "near", FEW // 2)
+        ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b"))
+        ids = F.broadcast(ids) if near["n"] <= FEW // 2 else small(ids.distinct(), "ids")[0]
+        sets = self.scratch.save(self.texts.join(ids, "i", "left_semi").mapInArrow(_sets(self.k), "i long, s array<long>"), "sets")
         x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-        both = pairs.join(y, "b").join(x, "a").select("a", "b", F.size("x").alias("n"), F.size("y").alias("o"), F.size(F.array_intersect("x", "y")).alias("both"))
+        both = y.join(pairs, "b").join(x, "a").select("a", "b", F.size("x").alias("n"), F.size("y").alias("o"), F.size(F.array_intersect("x", "y")).alias("both"))
         return self.scratch.save(both.where(F.col("both") * 100 >= F.lit(self.percent) * (F.col("n") + F.col("o") - F.col("both"))).select("a", "b"), "links")
 
+    def _roots(self, links: DataFrame) -> DataFrame:
+        found, n = stars(self.scratch, links)
+        return F.broadcast(found) if n <= FEW else found
+
     def _resolve(self, members: DataFrame, twins: DataFrame) -> DataFrame:
-        save = self.scratch.save
-        star = members.where("a <> i").select("a", F.col("i").alias("b")).distinct()
+        save, small = self.scratch.save, self.scratch.small
+        star, _ = small(members.where("a <> i").select("a", F.col("i").alias("b")).distinct(), "star")
         links = self._links(star).union(twins)
-        roots = save(components(self.scratch, links), "roots")
+        roots = self._roots(links)
         now = save(members.join(roots.withColumnRenamed("id", "i"), "i", "left").select("sig", "i", F.coalesce("component", "i").alias("c")), "now")
         parts = now.groupBy("sig", "c").agg(F.count("*").alias("k"))
-        several = parts.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size")).where("parts > 1").select("sig", "main", "size")
+        several, _ = small(parts.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size")).where("parts > 1").select("sig", "main", "size"), "several", FEW // 2)
+        unsettled, found = small(now.join(several, "sig").select("sig", "i", "c", (F.col("c") != F.col("main")).alias("minor"), "size"), "unsettled", FEW // 2)
+        if not found["n"]:
+            return roots
         maps = self.seen.select("i", "n", "m", F.col("c").alias("few"))
         cells = F.when(F.col("size") > SMALL, F.col("m")).otherwise(F.col("few")).alias("m")
-        unsettled = now.join(several, "sig").join(maps, "i").select("sig", "i", "c", (F.col("c") != F.col("main")).alias("minor"), "n", cells)
-        return self._settle(unsettled, links, roots)
+        return self._settle(maps.join(unsettled, "i").select("sig", "i", "c", "minor", "n", cells), links, roots)
 
     def _settle(self, unsettled: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
         """The components after all pairs of a bucket have been looked at that have an end outside its largest one."""
-        save = self.scratch.save
+        save, small = self.scratch.save, self.scratch.small
         dealt = save(unsettled.repartitionByRange("sig", F.desc("minor"), "n", "i").sortWithinPartitions("sig", F.desc("minor"), "n", "i").mapInArrow(_tiles, _TILES_SQL), "tiles")
         cols, sides = ("ids", "comps", "sizes", "cells"), lambda *of: [F.col(x).alias(f"{x}_{y}") for y in of for x in ("minor", "lo", "hi", "ids", "comps", "sizes", "cells")]
         own = dealt.where("minor").select(*sides("a", "b"))
-        large = save(dealt.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "large")
-        several = dealt.join(broadcast_if_small(large), "sig", "left_semi")
+        large, _ = small(dealt.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"), "large")
+        several = dealt.join(large, "sig", "left_semi")
         a, b = (several.select("sig", *sides(x)) for x in "ab")
         before: Column = ~F.col("minor_b") | (F.struct("lo_a", "hi_a", "ids_a") < F.struct("lo_b", "hi_b", "ids_b"))
         fits = (F.col("hi_b") * 100 >= F.col("lo_a") * self.percent) & (F.col("hi_a") * 100 >= F.col("lo_b") * self.percent)
         met = a.join(b, "sig").where(F.col("minor_a") & before & fits).drop("sig").select(*own.columns)
         pairs = [x.select(*[f"{c}_{s}" for c in cols for s in "ab"]).mapInArrow(_between(self.percent), "a long, b long") for x in (own, met)]
-        more = self._links(save(pairs[0].union(pairs[1]).distinct(), "pairs"))
-        if not more.limit(1).count():
+        met, found = small(pairs[0].union(pairs[1]).distinct(), "pairs")
+        more = self._links(met) if found["n"] else None
+        if more is None or not more.limit(1).count():
             return roots
-        return save(components(self.scratch, links.union(more)), "roots")
+        return self._roots(roots.toDF("a", "b").union(more))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
