@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -123,24 +124,30 @@ def lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
 def _packed(sym: np.ndarray, bits: int) -> bytes:
     if bits in (16, 32):
         return sym.astype(f"<u{bits // 8}").tobytes()
-    out = []
-    for k in range(0, len(sym), 1 << 16):  # a multiple of eight symbols
-        s = sym[k : k + (1 << 16), None]
-        out.append(np.packbits((s >> np.arange(bits, dtype=np.uint32)) & np.uint32(1), bitorder="little").tobytes())
-    return b"".join(out)
+    s = np.zeros((len(sym) + 7) // 8 * 8, np.uint64)
+    s[: len(sym)] = sym
+    s, out = s.reshape(-1, 8), np.zeros((len(s) // 8, bits), np.uint8)  # eight symbols are so many bytes
+    for j in range(8):
+        x = s[:, j] << np.uint64(j * bits % 8)
+        for k, at in enumerate(range(j * bits // 8, (j * bits + bits + 7) // 8)):
+            out[:, at] |= (x >> np.uint64(8 * k)).astype(np.uint8)
+    return out.tobytes()[: (len(sym) * bits + 7) // 8]
 
 
 def _unpacked(raw: np.ndarray, bits: int, a: int, b: int) -> np.ndarray:
     """The symbols from a up to b."""
     if bits in (16, 32):
         return raw[a * bits // 8 : b * bits // 8].view(f"<u{bits // 8}").astype(np.int64)
-    out = []
-    for k in range(a, b, 1 << 16):
-        n = min(b - k, 1 << 16)
-        first = k * bits
-        all_bits = np.unpackbits(raw[first // 8 : (first + n * bits + 7) // 8], bitorder="little")[first % 8 : first % 8 + n * bits].reshape(n, bits)
-        out.append(all_bits @ (1 << np.arange(bits, dtype=np.int64)))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+    first, last = a // 8, (b + 7) // 8  # eight symbols are so many bytes
+    held = raw[first * bits : last * bits]
+    held = np.append(held, np.zeros((last - first) * bits - len(held), np.uint8)).reshape(-1, bits)
+    out = np.empty((last - first, 8), np.int64)
+    for j in range(8):
+        x = np.zeros(last - first, np.int64)
+        for k, at in enumerate(range(j * bits // 8, (j * bits + bits + 7) // 8)):
+            x |= held[:, at].astype(np.int64) << (8 * k)
+        out[:, j] = (x >> (j * bits % 8)) & ((1 << bits) - 1)
+    return out.ravel()[a - 8 * first : b - 8 * first]
 
 
 def shard(docs: list[tuple[int, np.ndarray]], part: int, number: int, base: int, least: int = LEAST) -> bytes:
@@ -278,6 +285,7 @@ class Encoder:
         ids = {raw(t): i for t, i in model["vocab"].items()}
         self.numbers = np.array([ids.get(t, 0) for t in ranks], "<u4")
         self.numbers[2] = self.size  # ends a word
+        self.closes = np.array([t.endswith(end) for t in ranks])  # tokens that end a piece
         self.merge = tiktoken.Encoding("pieces", pat_str=rf"[^{self.END}{self.NEXT}\s]+{self.END}|{self.NEXT}", mergeable_ranks=ranks, special_tokens={})
         self.other = re.compile("[\x01\x02\u0250-\U0010ffff]").search  # words that have these go through the library
         self.split = regex.compile(self.PATTERN.replace(r"[^\s", rf"[^\s{self.NEXT}")).sub
@@ -286,41 +294,49 @@ class Encoder:
         """The ids of all texts in a row, and where each text ends. Null is empty."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         parts = words.flatten().dictionary_encode()
-        ids, n = self._each(parts.dictionary.to_pylist())
-        first, at = np.cumsum(n) - n, parts.indices.to_numpy()
-        n, first = n[at], first[at]
-        ends = np.append(0, np.cumsum(n))
-        all_ids = ids[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
-        return all_ids, ends[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
-
-    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words in a row, and how many each has."""
+        ids, n, order = self._each(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        place = np.empty(len(n), np.int64)
+        place[order] = np.arange(len(n))
+        each = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * np.append(0, np.cumsum(n))), pa.py_buffer(ids)])
+        _, ends, found = each.take(pa.array(place[parts.indices.to_numpy()])).buffers()
+        ends = np.frombuffer(ends, np.int64, len(parts) + 1) // 4
+        return np.frombuffer(found, "<u4", int(ends[-1])), ends[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the words in a row, how many each has, and which word is at each place of the row: those of letters
+        alone come first, the library's last."""
         if self.merge is None:
             fast = np.zeros(len(words), bool)
         elif self.other("".join(words)) is None:
             fast = np.ones(len(words), bool)
         else:
             fast = np.array([self.other(w) is None for w in words], bool)
-        counts, some = np.zeros(len(words), np.int64), list(compress(words, fast))
-        quick = np.empty(0, "<u4")
+        some, order = list(compress(words, fast.tolist())), np.flatnonzero(fast)
+        out, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
         if some:
-            marked = self.split(rf"\g<0>{self.END}", self.NEXT.join([*some, ""]).lower())
-            quick = self.numbers[self.merge.encode_to_numpy(marked)]
-            ends = np.flatnonzero(quick == self.size)
-            quick, counts[fast] = np.delete(quick, ends), np.diff(ends, prepend=-1) - 1
-        if fast.all():
-            return quick, counts
-        slow, out, at = {}, [], 0
-        for w, e in zip(compress(words, ~fast), self.tokenizer.encode_batch(list(compress(words, ~fast)), add_special_tokens=False)):
-            slow[w] = np.array(e.ids, "<u4")
-        for k, w in enumerate(words):
-            if not fast[k]:
-                out.append(slow[w])
-                counts[k] = len(slow[w])
-            else:
-                out.append(quick[at : at + counts[k]])
-                at += counts[k]
-        return np.concatenate(out), counts
+            low = self.NEXT.join(some).lower().split(self.NEXT)
+            whole = list(map(str.isalpha, low))  # one piece each
+            odd = [not x for x in whole]
+            order = np.concatenate([order[whole], order[odd]])
+            got = self.merge.encode_to_numpy(self.END.join([*compress(low, whole), ""]))
+            out.append(self.numbers[got])
+            counts.append(np.diff(np.flatnonzero(self.closes[got]), prepend=-1))
+            got = self.numbers[self.merge.encode_to_numpy(self.split(rf"\g<0>{self.END}", self.NEXT.join([*compress(low, odd), ""])))]
+            ends = np.flatnonzero(got == self.size)
+            out.append(np.delete(got, ends))
+            counts.append(np.diff(ends, prepend=-1) - 1)
+        if not fast.all():
+            slow = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(list(compress(words, (~fast).tolist())), add_special_tokens=False)]
+            order = np.append(order, np.flatnonzero(~fast))
+            out += slow
+            counts.append(np.array([len(x) for x in slow], np.int64))
+        return np.concatenate(out), np.concatenate(counts), order
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker: to make one takes as long as to encode some megabytes."""
+    return Encoder(path)
 
 
 def _gathered(batches, most: int):
@@ -347,7 +363,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, id
 
     def run(batches):
         fs, local = filesystem(folder)
-        encoder, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
         name, end = f"part-{part:06d}-{uuid.uuid4().hex}", np.array([end_id], "<u4")
         held, n, number, out, files, written = [], 0, 0, None, 0, 0
 
